@@ -70,10 +70,9 @@ def mean_pairwise_cosine(a: DataFrame, b: DataFrame, vec: str, dim: int) -> Data
     The mean over pairs equals the dot product of the two mean unit vectors; a zero
     vector has similarity 0 with everything, as its unit vector is zero.
     """
-    def mean_unit(df: DataFrame, name: str) -> Column:
-        u = vc.unit(F.col(vec))
-        one = df.select(u.alias("_u")).agg(vc.sum_per_dim(F.col("_u"), dim).alias("s"), F.count("*").alias("n"))
-        return one.select(vc.scale(F.col("s"), F.lit(1.0) / F.col("n")).alias(name)).scalar()
-
-    row = a.sparkSession.range(1)
-    return row.select(vc.dot(mean_unit(a, "ma"), mean_unit(b, "mb")).alias("mean_sim"))
+    units = [df.select(F.lit(side).alias("side"), vc.unit(F.col(vec)).alias("u")) for side, df in enumerate((a, b))]
+    sums = units[0].unionByName(units[1]).groupBy("side").agg(
+        vc.sum_per_dim(F.col("u"), dim).alias("s"), F.count("*").alias("n"))
+    means = sums.select("side", vc.scale(F.col("s"), F.lit(1.0) / F.col("n")).alias("m"))
+    both = means.agg(*[F.max(F.when(F.col("side") == i, F.col("m"))).alias(f"m{i}") for i in (0, 1)])
+    return both.select(vc.dot(F.col("m0"), F.col("m1")).alias("mean_sim"))
