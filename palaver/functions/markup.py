@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -152,25 +152,22 @@ def html_to_markdown(html: Column) -> Column:
     return apply_steps(html, HTML_TO_MD)
 
 
-def text_features(md: Column, outputs: list[str], reuse: dict[str, Column] | None = None) -> dict[str, Column]:
-    """Named measures of a Markdown column; pass `reuse` to supply those already computed.
+def with_text_features(df: DataFrame, md: str, outputs: list[str], reuse: tuple[str, ...] = ()) -> DataFrame:
+    """Add the named measures of a Markdown column.
 
-    Only the requested outputs enter the plan.
+    Columns listed in `reuse` are already there and are built upon instead of recomputed.
+    The raw text and the links are staged, so that each is evaluated once; whatever is not
+    requested is pruned from the plan.
     """
-    known = dict(reuse or {})
-
-    def get(name: str) -> Column:
-        if name not in known:
-            known[name] = makers[name]()
-        return known[name]
-
-    makers = {
-        "dgms_body_raw": lambda: raw_text(md),
-        "dgms_n_sentences": lambda: tx.n_sentences(get("dgms_body_raw")),
-        "dgms_n_words": lambda: tx.n_words(get("dgms_body_raw")),
-        "dgms_hyperlinks": lambda: hyperlinks(md),
-        "dgms_n_hyperlinks": lambda: n_hyperlinks(get("dgms_hyperlinks")),
-        "dgms_n_quotes": lambda: count_quotes(md),
-        "dgms_n_formatting": lambda: formatting_count(md),
+    staged = {"dgms_body_raw": raw_text(F.col(md)), "dgms_hyperlinks": hyperlinks(F.col(md))}
+    measures = {
+        "dgms_n_sentences": tx.n_sentences(F.col("dgms_body_raw")),
+        "dgms_n_words": tx.n_words(F.col("dgms_body_raw")),
+        "dgms_n_hyperlinks": n_hyperlinks(F.col("dgms_hyperlinks")),
+        "dgms_n_quotes": count_quotes(F.col(md)),
+        "dgms_n_formatting": formatting_count(F.col(md)),
     }
-    return {name: get(name) for name in outputs}
+    kept = [c for c in df.columns if c not in outputs or c in reuse]
+    out = df.withColumns({k: c for k, c in staged.items() if k not in reuse})
+    out = out.withColumns({k: c for k, c in measures.items() if k in outputs and k not in reuse})
+    return out.select(*kept, *[o for o in outputs if o not in kept])

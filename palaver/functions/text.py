@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +30,15 @@ TEXT_PROPERTIES = [
 ]
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with `value` evaluated once per row, however often fn uses it.
+
+    Catalyst copies an expression into every place that refers to it, filters and lambdas
+    included; a one-element transform keeps a costly text expression single.
+    """
+    return F.get(F.transform(F.array(value), lambda x: fn(x)), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Remove French accents from lowercase text."""
     return F.translate(c, ACCENTED, PLAIN)
@@ -45,10 +55,19 @@ def normalize_term(c: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Co
     Accents go before the stop-word test, so accented stop words stay (pass folded
     words to drop them too).
     """
-    t = F.regexp_replace(fold(c), "[^A-Za-z0-9_]", "")
+    t = bare_term(c)
     return F.when((t != "") & ~t.isin(stop_words), t)
 
 
+def bare_term(c: Column) -> Column:
+    return F.regexp_replace(fold(c), "[^A-Za-z0-9_]", "")
+
+
+def normalize_terms(words: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Column:
+    """normalize_term over an array, without the nulls."""
+    return F.filter(F.transform(words, lambda w: bare_term(w)), lambda t: (t != "") & ~t.isin(stop_words))
+
+
 def drop_stop_words(tokens: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop_words))
 
@@ -83,20 +102,22 @@ def n_words(c: Column) -> Column:
 
 def take_first_and_last(xs: Column, n_first: int, n_last: int) -> Column:
     """First n_first and last n_last elements without overlap."""
-    ends = F.concat(F.slice(xs, 1, n_first), F.slice(xs, -n_last, n_last))
-    return F.when(F.size(xs) > n_first + n_last, ends).otherwise(xs)
+    def ends(x: Column) -> Column:
+        both = F.concat(F.slice(x, 1, n_first), F.slice(x, -n_last, n_last))
+        return F.when(F.size(x) > n_first + n_last, both).otherwise(x)
+
+    return bind(xs, ends)
 
 
 def first_ngrams(tokens: Column, stop_at: int | None = 12, sizes=(1, 2, 3)) -> Column:
     """Distinct n-grams (joined by a space) of the first `stop_at` tokens."""
-    head = tokens if stop_at is None else F.slice(tokens, 1, stop_at)
-
-    def grams(n: int) -> Column:
+    def grams(head: Column, n: int) -> Column:
         starts = F.when(F.size(head) >= n, F.sequence(F.lit(1), F.size(head) - (n - 1)))
         starts = F.coalesce(starts, F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(head, i, n), " "))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in sizes]))
+    head = tokens if stop_at is None else F.slice(tokens, 1, stop_at)
+    return bind(head, lambda h: F.array_distinct(F.concat(*[grams(h, n) for n in sizes])))
 
 
 def high_one_bit(n: Column) -> Column:

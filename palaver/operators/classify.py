@@ -26,15 +26,16 @@ COEF_SCHEMA = "side string, block string, feature string, coef double"
 
 def reply_features(name: Column, md: Column) -> Column:
     """Struct of the features of one text; a missing text counts as empty."""
-    words = F.coalesce(tx.split_words(mk.raw_text(md)), F.array().cast("array<string>"))
-    zoned = F.transform(tx.take_first_and_last(words, 30, 30), lambda w: tx.fold(w))
-    return F.struct(
-        fr.is_post(name).alias("is_post"),
-        F.size(words).cast("long").alias("n_words"),
-        mk.count_quotes(md).alias("dgms_n_quotes"),
-        mk.n_hyperlinks(mk.hyperlinks(md)).alias("dgms_n_hyperlinks"),
-        zoned.alias("zoned_tokens"),
-    )
+    def features(words: Column) -> Column:
+        return F.struct(
+            fr.is_post(name).alias("is_post"),
+            F.size(words).cast("long").alias("n_words"),
+            mk.count_quotes(md).alias("dgms_n_quotes"),
+            mk.n_hyperlinks(mk.hyperlinks(md)).alias("dgms_n_hyperlinks"),
+            F.transform(tx.take_first_and_last(words, 30, 30), lambda w: tx.fold(w)).alias("zoned_tokens"),
+        )
+
+    return tx.bind(F.coalesce(tx.split_words(mk.raw_text(md)), F.array().cast("array<string>")), features)
 
 
 def with_features(df: DataFrame, name="name", body="body", parent_name="parent_id", parent_body="parent_body") -> DataFrame:

@@ -102,10 +102,12 @@ def missing_permalink(permalink: Column, body: Column) -> Column:
 
 def heuristic_positive(raw: Column, literals=wl.PRAISE_LITERALS, patterns=wl.PRAISE_PATTERNS) -> Column:
     """Short text holding any of the phrases or patterns, accents and case folded."""
-    text = tx.fold(raw)
     folded = [_fold_literal(x) for x in literals]
-    hit = (F.length(text) < 2000) & (tx.contains_any(text, folded) | tx.matches_any(text, patterns))
-    return F.coalesce(hit, F.lit(False))
+
+    def test(text: Column) -> Column:
+        return (F.length(text) < 2000) & (tx.contains_any(text, folded) | tx.matches_any(text, patterns))
+
+    return F.coalesce(tx.bind(tx.fold(raw), test), F.lit(False))
 
 
 def _fold_literal(word: str) -> str:

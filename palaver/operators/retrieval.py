@@ -22,8 +22,7 @@ def praise_tokens(raw: Column) -> Column:
 
 
 def phrase_tokens(text: Column) -> Column:
-    terms = F.transform(tx.matches(text, tx.WORD_APOSTROPHE), lambda w: tx.normalize_term(w))
-    return F.filter(terms, lambda t: t.isNotNull())
+    return tx.normalize_terms(tx.matches(text, tx.WORD_APOSTROPHE))
 
 
 def _summed(docs: DataFrame, row_id: str, tokens: Column, vectors: DataFrame, dim: int, weight: Column | None = None) -> DataFrame:

@@ -31,9 +31,9 @@ def _conform(df: DataFrame) -> DataFrame:
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SEARCH_SCHEMA])
 
 
-def _text_fields(md: Column) -> list[Column]:
-    feats = mk.text_features(md, ["dgms_body_raw", *MEASURES])
-    return [feats["dgms_body_raw"].alias("dgms_text_contents"), *[feats[m].alias(m) for m in MEASURES]]
+def _with_text_fields(df: DataFrame, md: str) -> DataFrame:
+    out = mk.with_text_features(df, md, ["dgms_body_raw", *MEASURES])
+    return out.withColumnRenamed("dgms_body_raw", "dgms_text_contents")
 
 
 def _common() -> list[Column]:
@@ -44,16 +44,18 @@ def _common() -> list[Column]:
 def submission_documents(subm: DataFrame) -> DataFrame:
     """Search documents of submissions; the text is the title followed by the body."""
     md = F.concat_ws("\n\n", F.col("title"), tx.non_empty_md(F.col("selftext")))
-    return _conform(subm.select(
+    base = subm.select(
         *_common(), F.lit("reddit_type_submission").alias("reddit_type"), F.col("name").alias("subm_reddit_name"),
-        F.col("title").alias("subm_title"), F.col("link_flair_text").alias("dgms_flair"), *_text_fields(md)))
+        F.col("title").alias("subm_title"), F.col("link_flair_text").alias("dgms_flair"), md.alias("_md"))
+    return _conform(_with_text_fields(base, "_md"))
 
 
 def comment_documents(comments: DataFrame) -> DataFrame:
     """Search documents of comments, without inherited fields; keeps link_id."""
-    return comments.select(
+    base = comments.select(
         *_common(), "link_id", F.lit("reddit_type_comment").alias("reddit_type"),
-        F.col("parent_id").alias("parent_reddit_name"), *_text_fields(F.col("body")))
+        F.col("parent_id").alias("parent_reddit_name"), F.col("body").alias("_md"))
+    return _with_text_fields(base, "_md").drop("_md")
 
 
 def fields_from_relatives(cmt_docs: DataFrame, subm_docs: DataFrame) -> DataFrame:
@@ -105,13 +107,20 @@ def text_search(docs: DataFrame, doc_id: str, field: str, text: str, filters: li
     terms = query_terms(docs.sparkSession, text)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
-    wanted = F.filter(tx.analyze_french(F.col(field)), lambda t: t.isin(terms))
-    tf = F.transform(F.array(*[F.lit(t) for t in terms]), lambda q: F.size(F.filter(F.col("_hits"), lambda t: t == q)))
-    counted = docs.withColumn("_hits", wanted).withColumn("_tf", tf)
-    stats = counted.agg(
-        F.count(field).alias("n"), F.array(*[F.count_if(F.get("_tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
+    none = F.array().cast("array<array<int>>")
+
+    def frequencies(hits: Column) -> Column:
+        tf = F.transform(F.array(*[F.lit(t) for t in terms]), lambda q: F.size(F.filter(hits, lambda t: t == q)))
+        return F.when(F.size(hits) > 0, F.array(tf)).otherwise(none)
+
+    # An index term is a substring of the lowercase text: a cheap test before tokenizing.
+    maybe = docs.filter(tx.contains_any(F.lower(field), terms))
+    hits = F.filter(tx.analyze_french(F.col(field)), lambda t: t.isin(terms))
+    counted = maybe.withColumn("_tf", F.explode(tx.bind(hits, frequencies)))
+    stats = counted.agg(F.array(*[F.count_if(F.get("_tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
+    stats = stats.withColumn("n", docs.select(F.count(field)).scalar())
     frozen = stats.select(F.struct("n", "df")).scalar()
-    scored = counted.filter(F.size("_hits") > 0)
+    scored = counted
     for f in filters:
         scored = scored.filter(f)
     scored = scored.withColumn("_s", frozen)

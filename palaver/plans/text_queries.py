@@ -577,4 +577,4 @@ def sql_bundle(md: str, raw: str) -> str:
 @query("mdn10_text_features", v.with_views(T) + f"""
 SELECT name, {sql_bundle('body', 'raw')} FROM (SELECT name, body, {v.sql_raw('body')} AS raw FROM things)""")
 def _(t):
-    return v.things(t).select("name", *[c.alias(k) for k, c in mk.text_features(F.col("body"), BUNDLE).items()])
+    return mk.with_text_features(v.things(t).select("name", "body"), "body", BUNDLE).drop("body")

@@ -7,6 +7,7 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
 import duckdb
 
+TIMES = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -36,15 +37,20 @@ def canonical(rows, cols):
 
 def compare(df, con, sql):
     """None when equal, else a message."""
+    t0 = time.time()
     cur = con.execute(sql)
+    cur_rows = cur.fetchall()
+    TIMES["duck"] = time.time() - t0
     ocols = [d[0] for d in cur.description]
     otypes = [str(d[1]) for d in cur.description]
-    orows = canonical(cur.fetchall(), ocols)
+    orows = canonical(cur_rows, ocols)
+    t0 = time.time()
     rows = canonical(df.collect(), df.columns)
+    TIMES["spark"] = time.time() - t0
     if sorted(df.columns) != sorted(ocols):
         return f"columns {sorted(df.columns)} != {sorted(ocols)}"
     st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    pair = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    pair = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
     for c, o in zip(ocols, otypes):
         want = pair.get(st[c], st[c])
         if o != want and not o.endswith("[]") and "STRUCT" not in o:
@@ -80,7 +86,9 @@ def main():
         status = "ok" if msg is None else msg
         if msg and not msg.startswith("rows-only"):
             bad += 1
-        print(f"{name:42s} {time.time() - t0:6.2f}s {status}", flush=True)
+        split = " ".join(f"{k} {x:.1f}" for k, x in TIMES.items())
+        TIMES.clear()
+        print(f"{name:42s} {time.time() - t0:6.2f}s {status} {split}", flush=True)
     print("bad:", bad)
 
 
