@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_queries, retrieval_queries, sample_queries, search_queries, stat_queries, text_queries, thread_queries, topic_queries  # noqa: F401
+from . import class_queries, retrieval_queries, sample_queries, search_queries, source_queries, stat_queries, text_queries, thread_queries, topic_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 
