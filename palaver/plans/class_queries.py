@@ -14,6 +14,7 @@ from ..operators import classify as cl
 from ..operators import evaluate as ev
 from ..operators import frames as fr
 from ..operators import threads as th
+from ..session import reliable_checkpoint
 from . import views as v
 from .registry import query, sql_all, sql_list
 from .stat_queries import SCORED, scored
@@ -84,7 +85,8 @@ def _(t):
 
 def training_rows(t):
     rows = cl.with_features(replies(t)).join(name_labels(t), "name").withColumnRenamed("label", "dgms_h2_label")
-    return rows.select("name", "dgms_comment", "dgms_parent", "dgms_h2_label")
+    # several fits read these rows: write them once
+    return reliable_checkpoint(rows.select("name", "dgms_comment", "dgms_parent", "dgms_h2_label"))
 
 
 @query("cls3_feature_matrix")
@@ -105,13 +107,13 @@ def _(t):
 @query("cls5_train_repeatedly")
 def _(t):
     _, m = cl.feature_matrix(training_rows(t), 500)
-    _, score = cl.train_repeatedly(m.persist(), "name", n_repeat=2, max_iter=5)
+    _, score = cl.train_repeatedly(m, "name", n_repeat=2, max_iter=5)
     return t.labels.agg(F.count("*").alias("n_labels")).withColumn("train_accuracy", F.lit(score))
 
 
 @query("cls6_cross_validate")
 def _(t):
-    return cl.cross_validate(training_rows(t).persist(), "name", k=3, vocab_size=500, max_iter=5)
+    return cl.cross_validate(training_rows(t), "name", k=3, vocab_size=500, max_iter=5)
 
 
 INTERCEPT = -0.05

@@ -50,6 +50,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread_small_scan(df):
+    """Fan a scan out over all cores when it has fewer partitions than there are cores.
+
+    A file with a single row group is read by one task, and all expressions on its rows
+    would run there. Inputs of many files (any large table) are returned unchanged, so this
+    never adds a shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reliable_checkpoint(df):
     """Write the rows to the shared folder and cut the lineage there."""
     shared_dir(df.sparkSession)
