@@ -120,6 +120,22 @@ def first_ngrams(tokens: Column, stop_at: int | None = 12, sizes=(1, 2, 3)) -> C
     return bind(head, lambda h: F.array_distinct(F.concat(*[grams(h, n) for n in sizes])))
 
 
+def bag_of_words(tokens: Column) -> Column:
+    """Distinct tokens with their counts, array<struct<term, tf>>, computed inside the row.
+
+    Sort, then measure the runs: n log n per text, and no shuffle of exploded tokens.
+    """
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(positions, lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return bind(starts, lambda b: F.transform(b, lambda at, k: F.struct(
+            F.get(s, at - 1).alias("term"),
+            (F.coalesce(F.get(b, k + 1), n + 1) - at).cast("long").alias("tf"))))
+
+    return bind(F.array_sort(tokens), runs)
+
+
 def high_one_bit(n: Column) -> Column:
     """Largest power of two not above n (0 for 0)."""
     n = n.cast("long")

@@ -147,22 +147,16 @@ def cross_validate(rows: DataFrame, row_id: str, k: int = 5, vocab_size: int = 5
 
 # Scoring --------------------------------------------------------------------------------
 
-def term_counts(tokens: Column) -> Column:
-    """Counted distinct tokens of one (short) token list."""
-    return F.transform(F.array_distinct(tokens), lambda t: F.struct(
-        t.alias("feature"), F.size(F.filter(tokens, lambda x: x == t)).cast("double").alias("value")))
-
-
 def long_features(df: DataFrame, row_id: str) -> DataFrame:
     """(row_id, side, block, feature, value): a few dozen rows per comment, no shuffle."""
     def tagged(entries: Column, side: str, block: str) -> Column:
         return F.transform(entries, lambda e: F.struct(
-            F.lit(side).alias("side"), F.lit(block).alias("block"), e["feature"].alias("feature"), e["value"].alias("value")))
+            F.lit(side).alias("side"), F.lit(block).alias("block"), e["term"].alias("feature"), e["tf"].cast("double").alias("value")))
 
     groups = []
     for side in SIDES:
-        nw = F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in zip(NON_WORD, non_word_values(side))])
-        groups += [tagged(nw, side, "non_word"), tagged(term_counts(F.col(side)["zoned_tokens"]), side, "BoW")]
+        nw = F.array(*[F.struct(F.lit(n).alias("term"), c.alias("tf")) for n, c in zip(NON_WORD, non_word_values(side))])
+        groups += [tagged(nw, side, "non_word"), tagged(tx.bag_of_words(F.col(side)["zoned_tokens"]), side, "BoW")]
     return df.select(row_id, F.explode(F.concat(*groups)).alias("e")).select(row_id, "e.*")
 
 

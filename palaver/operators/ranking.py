@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
-from ..session import reliable_checkpoint
+from ..session import write_once
 from .sizing import pin_small
 
 
@@ -14,12 +14,12 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
     """Number all rows 1, 2, ... in the given total order.
 
     Range partitioning on the whole order (hot leading values are split by the tiebreak),
-    a local sort, then per-partition counts turn local positions into global ones. The sorted
-    rows are checkpointed so that both uses see the same partitions.
+    a local sort, then per-partition counts turn local positions into global ones. The rows
+    are written once with their local position, so that both uses see the same partitions.
     """
     position_bits = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = reliable_checkpoint(placed.withColumn("_id", F.monotonically_increasing_id()))
+    placed = write_once(placed.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", position_bits)
     local = F.col("_id").bitwiseAND((1 << position_bits) - 1)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

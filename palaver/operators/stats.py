@@ -41,7 +41,8 @@ def term_statistics(docs: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]
 
     The corpus row comes from array sizes, so it needs no shuffle of the tokens.
     """
-    per_term = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    bags = docs.select(F.explode(tx.bag_of_words(F.col(tokens))).alias("b"))
+    per_term = bags.groupBy(F.col("b.term").alias("term")).agg(F.sum("b.tf").alias("n_term"))
     overall = docs.agg(F.sum(F.size(tokens).cast("long")).alias("n_total"), F.count("*").alias("n_docs"))
     return per_term, overall
 

@@ -14,7 +14,7 @@ from ..operators import classify as cl
 from ..operators import evaluate as ev
 from ..operators import frames as fr
 from ..operators import threads as th
-from ..session import reliable_checkpoint
+from ..session import write_once
 from . import views as v
 from .registry import query, sql_all, sql_list
 from .stat_queries import SCORED, scored
@@ -86,7 +86,7 @@ def _(t):
 def training_rows(t):
     rows = cl.with_features(replies(t)).join(name_labels(t), "name").withColumnRenamed("label", "dgms_h2_label")
     # several fits read these rows: write them once
-    return reliable_checkpoint(rows.select("name", "dgms_comment", "dgms_parent", "dgms_h2_label"))
+    return write_once(rows.select("name", "dgms_comment", "dgms_parent", "dgms_h2_label"))
 
 
 @query("cls3_feature_matrix")
@@ -127,13 +127,14 @@ coefs AS (SELECT side, block, feature, round({v.sql_uniform("side || ':' || bloc
 def coefficients(t):
     """A coefficient table over the 1000 most frequent (side, token) pairs and the non-word features."""
     rows = cl.with_features(replies(t))
-    toks = None
-    for side in cl.SIDES:
-        part = rows.select(F.lit(side).alias("side"), F.explode(f"{side}.zoned_tokens").alias("feature"))
-        toks = part if toks is None else toks.unionByName(part)
+    def sided(side):
+        return F.transform(F.col(side)["zoned_tokens"], lambda w: F.struct(F.lit(side).alias("side"), w.alias("feature")))
+
+    toks = rows.select(F.explode(F.concat(*map(sided, cl.SIDES))).alias("e")).select("e.side", "e.feature")
     bow = toks.groupBy("side", "feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "side", "feature").limit(1000)
     bow = bow.select("side", F.lit("BoW").alias("block"), "feature")
-    nw = toks.select("side").distinct().select(
+    sides = F.explode(F.array(*[F.lit(x) for x in cl.SIDES])).alias("side")
+    nw = t.spark.range(1).select(sides).select(
         "side", F.lit("non_word").alias("block"), F.explode(F.array(*[F.lit(x) for x in cl.NON_WORD])).alias("feature"))
     key = F.concat_ws(":", "side", "block", "feature")
     return bow.unionByName(nw).withColumn("coef", F.round(nm.keyed_uniform(key) - 0.5, 6))

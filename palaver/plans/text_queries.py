@@ -279,7 +279,9 @@ def _(t):
 
 @query("txt10_bag_of_words", f"WITH {WORDS} SELECT doc_id, lower(word) AS token, count(*) AS n FROM words GROUP BY 1, 2")
 def _(t):
-    return words(t).groupBy("doc_id", F.lower("word").alias("token")).agg(F.count("*").alias("n"))
+    bag = tx.bag_of_words(tx.split_words(F.lower("text")))
+    return t.documents.select("doc_id", F.explode(bag).alias("b")).select(
+        "doc_id", F.col("b.term").alias("token"), F.col("b.tf").alias("n"))
 
 
 def sql_hob(n: str) -> str:

@@ -61,7 +61,13 @@ def spread_small_scan(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def reliable_checkpoint(df):
-    """Write the rows to the shared folder and cut the lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_once(df):
+    """Store the rows as a table in the shared folder and go on from there.
+
+    Cuts the lineage in a way that survives lost executors; later reads are columnar and have
+    known sizes.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
