@@ -17,11 +17,10 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
     a local sort, then per-partition counts turn local positions into global ones. The rows
     are written once with their local position, so that both uses see the same partitions.
     """
-    position_bits = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = write_once(placed.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", position_bits)
-    local = F.col("_id").bitwiseAND((1 << position_bits) - 1)
+    part = F.shiftright("_id", POSITION_BITS)
+    local = F.col("_id").bitwiseAND((1 << POSITION_BITS) - 1)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row per partition: small enough for a single ordered window
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -30,8 +29,27 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
     return ranked.withColumn(rank, F.col("_before") + local + 1).drop("_id", "_part", "_before")
 
 
+POSITION_BITS = 33  # monotonically_increasing_id keeps the position in a partition in the low 33 bits
+SHORT_LIST = 1000  # up to here Spark's own top-k and window limits keep only the best per task
+
+
+def _position() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1)
+
+
+def _best_of_each_task(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    return df.sortWithinPartitions(*order).withColumn("_pos", _position()).filter(F.col("_pos") < n).drop("_pos")
+
+
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """First n rows of an order (each task keeps only its n best)."""
+    """First n rows of a total order.
+
+    A short list is a plain top-k. For a long one, n rows from every scan task would all meet in
+    the last task; they are cut down in one more round of parallel tasks before.
+    """
+    if n > SHORT_LIST:
+        fan = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = _best_of_each_task(_best_of_each_task(df, order, n).repartition(fan), order, n)
     return df.orderBy(*order).limit(n)
 
 
@@ -41,14 +59,24 @@ def with_bounded_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows of each group; map-side pre-selection keeps hot groups small in the shuffle."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
+    """First n rows of each group.
+
+    Up to SHORT_LIST, Spark keeps only n rows per group and task before the shuffle. Beyond, each
+    group is first ranked in parts, so that a hot group is never sorted by one task.
+    """
+    def best(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+
+    if n > SHORT_LIST:
+        fan = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(fan))
+        df = best(df.withColumn("_part", part), [*group, "_part"]).drop("_part", rank)
+    return best(df, group).withColumn(rank, F.col(rank).cast("long"))
 
 
 def draw_n(df: DataFrame, n: int, key: Column, tiebreak: str) -> DataFrame:
     """Stable random draw of n rows: the n smallest keyed uniforms."""
-    return df.withColumn("_u", nm.keyed_uniform(key)).orderBy("_u", tiebreak).limit(n).drop("_u")
+    return top_n(df.withColumn("_u", nm.keyed_uniform(key)), [F.asc("_u"), F.asc(tiebreak)], n).drop("_u")
 
 
 def score_bands(df: DataFrame, score: str, tiebreak: str, edges: list[int], label: str = "band") -> DataFrame:

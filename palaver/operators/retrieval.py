@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions import vectors as vc
 from . import ranking as rk
 from .sizing import pin_small_checked
+from .threads import lookup_inner
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 MAX_REFERENCES = 4096
@@ -29,14 +30,15 @@ def _summed(docs: DataFrame, row_id: str, tokens: Column, vectors: DataFrame, di
     """Sum and number of the known token vectors per document.
 
     With a small index the lookup is a broadcast join and partial sums leave each task;
-    otherwise tokens are first counted per document, and the join shuffles on the token.
+    otherwise tokens are first counted per document, and frequent tokens are salted.
     """
     index, small = pin_small_checked(vectors.select("token", "vec"), BROADCAST_BYTES // (4 * dim))
     exploded = docs.select(row_id, F.explode(tokens).alias("token"))
     if small:
         hits = exploded.withColumn("w", F.lit(1.0)).join(index, "token")
     else:
-        hits = exploded.groupBy(row_id, "token").agg(F.count("*").cast("double").alias("w")).join(index, "token")
+        hits = exploded.groupBy(row_id, "token").agg(F.count("*").cast("double").alias("w"))
+        hits = lookup_inner(hits, index, "token", row_id)
     return hits.groupBy(row_id).agg(vc.sum_per_dim(F.col("vec"), dim, F.col("w")).alias("_sum"), F.sum("w").alias("_n"))
 
 

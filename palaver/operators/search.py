@@ -66,7 +66,7 @@ def fields_from_relatives(cmt_docs: DataFrame, subm_docs: DataFrame) -> DataFram
     """
     posts = th.one_per_key(subm_docs.select("reddit_name", "subm_title", "dgms_flair", "dgms_text_contents"), "reddit_name")
     head = posts.select(F.col("reddit_name").alias("link_id"), F.col("reddit_name").alias("subm_reddit_name"), "subm_title", "dgms_flair")
-    inside = cmt_docs.join(head, "link_id")
+    inside = th.lookup_inner(cmt_docs, head, "link_id", "reddit_name")
     texts = cmt_docs.select("reddit_name", "link_id", "dgms_text_contents").unionByName(
         posts.select("reddit_name", F.col("reddit_name").alias("link_id"), "dgms_text_contents"))
     parents = th.one_per_key(texts, "reddit_name").select(

@@ -1,4 +1,4 @@
-"""Bounded tables: broadcast only what has been measured."""
+"""Measured sizes: broadcast only what is small, split only what is hot."""
 
 from __future__ import annotations
 
@@ -26,3 +26,29 @@ def pin_small_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     if head.num_rows > max_rows:
         return df, False
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), True
+
+
+# A frame below this planner estimate cannot hold a partition worth splitting.
+SALT_ABOVE_BYTES = 256 * 1024 * 1024
+# A key is hot when it holds more than this share of the rows, so there are at most 1/share of them.
+HOT_SHARE = 1 / 256
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate (file sizes for scans, an upper bound for most operators)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hot_keys(df: DataFrame, key: str, n_parts: str = "_parts") -> DataFrame | None:
+    """Keys holding more than HOT_SHARE of the rows, with the number of parts to split each into.
+
+    None when the frame is small or evenly spread. The result has at most 1/HOT_SHARE rows and
+    its parts add up to at most twice that, however large the data.
+    """
+    if estimated_bytes(df) < SALT_ABOVE_BYTES:
+        return None
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    share = df.select(F.count("*")).scalar() * F.lit(HOT_SHARE)
+    hot = counts.filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias(n_parts))
+    table = hot.toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(table, schema=hot.schema)) if table.num_rows else None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions import vectors as vc
+from . import ranking as rk
 
 
 def count_by(df: DataFrame, **keys: Column) -> DataFrame:
@@ -50,7 +51,7 @@ def term_statistics(docs: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]
 def document_frequency(df: DataFrame, grams: Column, vocab_size: int) -> DataFrame:
     """The vocab_size grams found in most rows; ties go to the smaller gram."""
     counts = df.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_docs_with"))
-    return counts.orderBy(F.desc("n_docs_with"), "gram").limit(vocab_size)
+    return rk.top_n(counts, [F.desc("n_docs_with"), F.asc("gram")], vocab_size)
 
 
 def contingency(df: DataFrame, heuristic: str, label: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Joins between posts, comments and their parents.
 
 The "one" side of each join is reduced to one row per key first; the "many" side may hold
-any number of rows per key (a single thread can hold a third of all comments), so nothing
-here groups a thread into one row or task: joins stay row-wise, adaptive execution splits
-hot keys, and rows without a key are spread instead of meeting in one partition.
+any number of rows per key (a single thread can hold a third of all comments). Nothing here
+groups a thread into one row or task: joins stay row-wise, hot keys are measured and salted,
+and rows without a key are spread instead of meeting in one partition.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
-from .sizing import pin_small
+from .sizing import hot_keys, pin_small
 
 NO_KEY = "\x00"
 
@@ -31,17 +31,35 @@ def one_per_key(df: DataFrame, key: str, prefer: str | None = None) -> DataFrame
 def lookup(many: DataFrame, one: DataFrame, key: str, row_id: str, found: str | None = None) -> DataFrame:
     """Left join `many` with `one` (unique on `key`); null keys never meet.
 
+    Hot keys of `many` are split into parts by a hash of the row id, and their single rows in
+    `one` are repeated once per part, at most a few hundred rows more in all. (Adaptive
+    skew handling does not apply when one side comes straight out of an aggregation.)
     `found` names a boolean column telling whether a partner exists.
     """
-    spread = F.coalesce(F.col(key), F.concat(F.lit(NO_KEY), F.col(row_id).cast("string")))
     right = one.filter(F.col(key).isNotNull())
     if found:
         right = right.withColumn(found, F.lit(True))
+    spread = F.coalesce(F.col(key), F.concat(F.lit(NO_KEY), F.col(row_id).cast("string")))
     left = many.withColumn("_lk", spread)
-    out = left.join(right.withColumnRenamed(key, "_lk"), "_lk", "left").drop("_lk")
+    right = right.withColumnRenamed(key, "_lk")
+    on = ["_lk"]
+    hot = hot_keys(many, key)
+    if hot is not None:
+        parts = hot.withColumnRenamed(key, "_lk")
+        left = left.join(parts, "_lk", "left").withColumn(
+            "_salt", F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        right = right.join(parts, "_lk", "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        on = ["_lk", "_salt"]
+    out = left.join(right, on, "left").drop(*on)
     return out.withColumn(found, F.coalesce(F.col(found), F.lit(False))) if found else out
 
 
+def lookup_inner(many: DataFrame, one: DataFrame, key: str, row_id: str) -> DataFrame:
+    """As lookup, but rows without a partner are dropped."""
+    return lookup(many, one, key, row_id, "_hit").filter("_hit").drop("_hit")
+
+
 def enrich_with_submission(comments: DataFrame, subm: DataFrame, into: str, fields: list[str]) -> DataFrame:
     """Attach the listed submission fields as struct `into` (null when the post is unknown)."""
     data = one_per_key(subm.select("name", *[f for f in fields if f != "name"]), "name")
@@ -96,9 +114,8 @@ def co_group(subm: DataFrame, comments: DataFrame, fields: list[str]) -> DataFra
     posts = one_per_key(subm, "name").withColumnRenamed("name", "subm_name")
     cmts = comments.filter("link_id IS NOT NULL").select(
         F.col("link_id").alias("subm_name"), F.struct(*fields).alias("cmt"))
-    # An inner join and an anti join rather than one outer join from the posts: adaptive
-    # execution may split a hot thread only on a side that is not null-extended.
-    answered = posts.join(cmts, "subm_name")
+    # The comments look up their post (a hot thread is split); silent posts come from an anti join.
+    answered = lookup_inner(cmts, posts, "subm_name", "cmt").select(*posts.columns, "cmt")
     silent = posts.join(cmts.select("subm_name").distinct(), "subm_name", "left_anti")
     return answered.unionByName(silent.withColumn("cmt", F.lit(None).cast(answered.schema["cmt"].dataType)))
 
@@ -111,7 +128,7 @@ def chunked_lists(df: DataFrame, key: str, item: str, row_id: str, per_row: int
     """
     sizes = df.groupBy(key).agg(F.ceil(F.count("*") / per_row).cast("long").alias("n_chunks"))
     u = nm.keyed_uniform(F.col(row_id).cast("string"))
-    placed = df.join(sizes, key).withColumn("chunk", F.floor(u * F.col("n_chunks")).cast("long"))
+    placed = lookup_inner(df, sizes, key, row_id).withColumn("chunk", F.floor(u * F.col("n_chunks")).cast("long"))
     return placed.groupBy(key, "n_chunks", "chunk").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
@@ -138,7 +155,7 @@ def children_of(nodes: DataFrame) -> DataFrame:
     parents = nodes.select(F.col("name").alias("parent_name")).distinct()
     children = nodes.filter("parent_id IS NOT NULL").select(
         F.col("parent_id").alias("parent_name"), F.col("name").alias("child_name"))
-    return children.join(parents, "parent_name")
+    return lookup_inner(children, parents, "parent_name", "child_name").select("parent_name", "child_name")
 
 
 def thing_by_name(nodes: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions import vectors as vc
 from ..functions import wordlists as wl
 from ..operators import frames as fr
+from ..operators import threads as th
 from . import views as v
 from .registry import query, sql_all, sql_list, sql_pattern, sql_steps
 
@@ -20,7 +21,7 @@ JOINED = "joined AS (SELECT c.*, s.link_flair_text AS flair FROM comments c LEFT
 def joined(t):
     """Comments with the flair of their thread."""
     subm = v.submissions(t).select(F.col("name").alias("link_id"), F.col("link_flair_text").alias("flair"))
-    return v.comments(t).join(subm, "link_id", "left")
+    return th.lookup(v.comments(t), subm, "link_id", "name")
 
 
 # Projections ----------------------------------------------------------------------------
