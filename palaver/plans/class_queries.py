@@ -89,9 +89,17 @@ def training_rows(t):
     return write_once(rows.select("name", "dgms_comment", "dgms_parent", "dgms_h2_label"))
 
 
-@query("cls3_feature_matrix")
+def _norms() -> str:
+    cols = []
+    for p, side in (("c", "dgms_comment"), ("p", "dgms_parent")):
+        cols += [f"CASE WHEN {p}_is_post OR {p}_n_words + {p}_n_links + {p}_n_quotes > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS {side}_nw_norm",
+                 f"CASE WHEN len({p}_tokens) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS {side}_bow_norm"]
+    return ", ".join(cols)
+
+
+@query("cls3_feature_matrix", v.with_views(*BASE, FEATS, LABELS) + f"SELECT name, {_norms()} FROM feats JOIN name_labels USING (name)")
 def _(t):
-    _, m = cl.feature_matrix(training_rows(t), 500)
+    _, m = cl.feature_matrix(training_rows(t), 200_000)  # every token is in the vocabulary
     blocks = [F.round(vc.norm(vector_to_array(f"{side}_{b}")), 6).alias(f"{side}_{b}_norm") for side in cl.SIDES for b in ("nw", "bow")]
     return m.select("name", *blocks)
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import wordlists as wl
-from ..operators import retrieval as rt
+from ..operators import stats as st
 from ..operators import topics as tp
 from ..session import scratch_path
 from ..sources import dumps as du
@@ -14,8 +13,9 @@ from ..sources import lexicons as lx
 from ..sources import records as rc
 from . import views as v
 from .registry import query
-from .retrieval_queries import DIM, WV, word_vectors
-from .topic_queries import tokenized
+from .retrieval_queries import WV, word_vectors
+from .text_queries import WORDS
+from .topic_queries import PPMI_TOKENS, tokenized
 
 T, C, S = v.THINGS, v.COMMENTS, v.SUBMISSIONS
 COMMENT_FIELDS = ["id", "name", "link_id", "parent_id", "body", "author", "subreddit", "created_utc", "score", "ups", "downs", "permalink"]
@@ -63,14 +63,14 @@ def _(t):
     return lines.select("event_id", parsed.alias("r")).select("event_id", "r.k", F.col("r._corrupt_record").isNotNull().alias("corrupt"))
 
 
-@query("src4_read_text_sequence")
+@query("src4_read_text_sequence", "SELECT length(text) AS n_chars, count(*) AS n FROM documents GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "textseq")
     rc.write_text_sequence(t.documents, "text", path)
     return rc.read_text_sequence(t.spark, path).groupBy(F.length("value").cast("long").alias("n_chars")).agg(F.count("*").alias("n"))
 
 
-@query("src5_write_text_sequence")
+@query("src5_write_text_sequence", v.with_views(T, C, RAW_COMMENTS) + "SELECT id, link_id, score FROM raw_comments")
 def _(t):
     path = scratch_path(t.spark, "jsonseq")
     rc.write_text_sequence(raw_comments(t).select(F.to_json(F.struct("*")).alias("line")), "line", path)
@@ -78,7 +78,7 @@ def _(t):
     return back.select("id", "link_id", "score")
 
 
-@query("src6_bytes_sequence")
+@query("src6_bytes_sequence", v.with_views(T, C, RAW_COMMENTS) + "SELECT id, body FROM raw_comments")
 def _(t):
     path = scratch_path(t.spark, "byteseq")
     rc.write_bytes_sequence(raw_comments(t).select("id", "body"), "id", "body", path)
@@ -129,7 +129,7 @@ def _(t):
                      F.get_json_object("reddit_doc__json", "$.body").alias("doc_text"))
 
 
-@query("src12_word_vectors")
+@query("src12_word_vectors", f"WITH {WV} SELECT row_number() OVER (ORDER BY token) - 1 AS idx, token, len(vec) AS dim FROM wv")
 def _(t):
     path = scratch_path(t.spark, "vectors")
     lx.write_word_vectors(word_vectors(t), "token", "vec", "token", path)
@@ -137,18 +137,21 @@ def _(t):
     return back.select("idx", "token", F.size("vec").cast("long").alias("dim"))
 
 
-@query("src13_stop_words")
+@query("src13_stop_words", f"WITH {WORDS} SELECT word FROM (SELECT lower(word) AS word, count(*) AS n FROM words GROUP BY 1 ORDER BY n DESC, word LIMIT 150)")
 def _(t):
     path = scratch_path(t.spark, "stop")
     frequent = t.documents.select(F.explode(tx.split_words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     frequent.orderBy(F.desc("n"), "w").limit(150).select(
-        F.concat(F.rpad("w", 20, " "), F.lit("|  seen "), F.col("n").cast("string")).alias("value")).write.text(path)
+        F.concat("w", F.lit("   |  seen "), F.col("n").cast("string")).alias("value")).write.text(path)
     return lx.read_stop_words(t.spark, path)
 
 
-@query("src14_saved_vectorizer")
+@query("src14_saved_vectorizer", f"""WITH {PPMI_TOKENS}, n AS (SELECT term, count(*) AS n_term FROM tok GROUP BY 1)
+SELECT row_number() OVER (ORDER BY n_term DESC) - 1 AS idx, n_term FROM n ORDER BY n_term DESC LIMIT 500""")
 def _(t):
     path = scratch_path(t.spark, "vectorizer")
     model, _ = tp.count_vectors(tokenized(t), "tokens", "bow", 500)
     lx.save_vectorizer(model, path)
-    return tp.vocabulary_frame(t.spark, lx.load_vectorizer(path))
+    vocabulary = tp.vocabulary_frame(t.spark, lx.load_vectorizer(path))
+    per_term, _ = st.term_statistics(tokenized(t), "tokens")
+    return vocabulary.join(per_term, "term").select("idx", "n_term")

@@ -25,7 +25,7 @@ def local_session(cpus: str = "*", app: str = "palaver", **conf) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables that every executor can read.
+    """Folder for intermediate tables that every executor can read.
 
     Taken from spark.checkpoint.dir. Only a local session may fall back on a fresh
     temporary folder.
