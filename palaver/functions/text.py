@@ -63,9 +63,18 @@ def bare_term(c: Column) -> Column:
     return F.regexp_replace(fold(c), "[^A-Za-z0-9_]", "")
 
 
-def normalize_terms(words: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Column:
-    """normalize_term over an array, without the nulls."""
-    return F.filter(F.transform(words, lambda w: bare_term(w)), lambda t: (t != "") & ~t.isin(stop_words))
+def normalized_tokens(c: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Column:
+    """Normalised terms of a text, in order, without stop words.
+
+    The text is folded as a whole; only tokens with an apostrophe or a letter outside ASCII
+    need the pattern that strips non-word characters.
+    """
+    def strip(w: Column) -> Column:
+        plain = (F.length(w) == F.octet_length(w)) & ~w.contains("'")
+        return F.when(plain, w).otherwise(F.regexp_replace(w, "[^A-Za-z0-9_]", ""))
+
+    tokens = F.transform(matches(fold(c), WORD_APOSTROPHE), strip)
+    return F.filter(tokens, lambda t: (t != "") & ~t.isin(stop_words))
 
 
 def drop_stop_words(tokens: Column, stop_words: list[str] = wl.FRENCH_STOPWORDS) -> Column:
@@ -87,8 +96,12 @@ def sentences(c: Column) -> Column:
 
 def analyze_french(c: Column) -> Column:
     """Index terms: lowercase tokens, elided articles removed, stop words removed."""
-    bare = F.transform(matches(F.lower(c), WORD_APOSTROPHE), lambda t: F.regexp_replace(t, ELISION, ""))
-    return drop_stop_words(F.filter(bare, lambda t: t.rlike(r"[\p{L}\p{N}_]")))
+    def strip(t: Column) -> Column:
+        marked = t.contains("'") | t.contains("’")
+        return F.when(marked, F.regexp_replace(t, ELISION, "")).otherwise(t)
+
+    tokens = F.transform(matches(F.lower(c), WORD_APOSTROPHE), strip)
+    return drop_stop_words(F.filter(tokens, lambda t: F.translate(t, "'’", "") != ""))
 
 
 def n_sentences(c: Column) -> Column:

@@ -23,7 +23,7 @@ def praise_tokens(raw: Column) -> Column:
 
 
 def phrase_tokens(text: Column) -> Column:
-    return tx.normalize_terms(tx.matches(text, tx.WORD_APOSTROPHE))
+    return tx.normalized_tokens(text)
 
 
 def _summed(docs: DataFrame, row_id: str, tokens: Column, vectors: DataFrame, dim: int, weight: Column | None = None) -> DataFrame:

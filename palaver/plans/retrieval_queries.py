@@ -18,7 +18,7 @@ DIM = 64
 def term_tokens(t):
     """All normalised terms of documents and benchmark texts."""
     texts = t.documents.select("text").unionByName(t.benchmark.select("text"))
-    return texts.select(F.explode(rt.phrase_tokens(F.col("text"))).alias("token")).distinct()
+    return texts.select(F.explode(F.array_distinct(rt.phrase_tokens(F.col("text")))).alias("token")).distinct()
 
 
 def word_vectors(t):
