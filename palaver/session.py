@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    setting = "spark.checkpoint.dir"
+    named = spark.conf.get(setting, None) or sc.getConf().get(setting) or sc.getCheckpointDir()
     if named:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
