@@ -29,3 +29,14 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "join1_enrich_with_submission", "join2_flow_parent_value", "join5_bundle_threads", "join5_co_group",
+    "join7_children", "srch3_thread_documents", "tpc5_ppmi"])
+def test_same_rows_with_salted_joins(spark, duck, monkeypatch, name):
+    from palaver.operators import sizing
+
+    monkeypatch.setattr(sizing, "SALT_ABOVE_BYTES", 0)
+    message = compare(QUERIES[name](spark, FOLDER), duck, ORACLES[name])
+    assert message is None, message
