@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions import vectors as vc
 from ..operators import ranking as rk
 from ..operators import retrieval as rt
+from ..session import write_once
 from . import views as v
 from .registry import query, sql_all
 from .text_queries import STOP, sql_ends, sql_sentences
@@ -28,8 +29,9 @@ def word_vectors(t):
     """
     n = t.embeddings.select(F.count("*")).scalar()
     slot = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 8), 16, 10).cast("long") % (n * 4)
-    return term_tokens(t).withColumn("vec_id", slot).join(t.embeddings, "vec_id").select(
+    table = term_tokens(t).withColumn("vec_id", slot).join(t.embeddings, "vec_id").select(
         "token", F.col("embedding").alias("vec"))
+    return write_once(table)
 
 
 def _norm(w: str) -> str:
@@ -55,12 +57,12 @@ def sql_vectors(rel: str, id_: str, name: str, how: str) -> str:
 {name} AS (SELECT {id_}, list(x ORDER BY i) AS vec FROM {name}_dims GROUP BY 1)"""
 
 
-def doc_vectors(t):
-    return rt.doc_vectors(t.documents, "doc_id", rt.praise_tokens(F.col("text")), word_vectors(t), DIM)
+def doc_vectors(t, vectors):
+    return rt.doc_vectors(t.documents, "doc_id", rt.praise_tokens(F.col("text")), vectors, DIM)
 
 
-def bench_vectors(t):
-    return rt.phrase_vectors(t.benchmark, "item_id", rt.phrase_tokens(F.col("text")), word_vectors(t), DIM)
+def bench_vectors(t, vectors):
+    return rt.phrase_vectors(t.benchmark, "item_id", rt.phrase_tokens(F.col("text")), vectors, DIM)
 
 
 @query("ret1_doc_vectors", f"""WITH {WV}, {DOC_TOKENS}, {sql_vectors('dt', 'doc_id', 'dv', 'sum')}
@@ -68,7 +70,7 @@ SELECT doc_id, round(vec[1] / norm, 6) AS first, round(vec[{DIM}] / norm, 6) AS
 FROM documents LEFT JOIN (SELECT doc_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM dv) USING (doc_id)""")
 def _(t):
     vec = F.col("vec")
-    return doc_vectors(t).select("doc_id", F.round(F.get(vec, F.lit(0)), 6).alias("first"),
+    return doc_vectors(t, word_vectors(t)).select("doc_id", F.round(F.get(vec, F.lit(0)), 6).alias("first"),
                                  F.round(F.get(vec, F.lit(DIM - 1)), 6).alias("last"), F.round(vc.total(vec), 6).alias("total"))
 
 
@@ -79,16 +81,17 @@ BENCH = f"bt AS (SELECT item_id, unnest({sql_phrase_tokens('text')}) AS token FR
 SELECT item_id, round(coalesce(vec[1], 0), 6) AS first, round(coalesce(list_sum(vec), 0), 6) AS total FROM benchmark LEFT JOIN bv USING (item_id)""")
 def _(t):
     vec = F.col("vec")
-    return bench_vectors(t).select("item_id", F.round(F.get(vec, F.lit(0)), 6).alias("first"), F.round(vc.total(vec), 6).alias("total"))
+    return bench_vectors(t, word_vectors(t)).select("item_id", F.round(F.get(vec, F.lit(0)), 6).alias("first"), F.round(vc.total(vec), 6).alias("total"))
 
 
 @query("ret3_pre_sim_score", f"""WITH {WV}, {DOC_TOKENS}, {sql_vectors('dt', 'doc_id', 'dv', 'sum')}, {BENCH},
 m AS (SELECT doc_id, max(list_cosine_similarity(dv.vec, bv.vec)) AS sim FROM dv, bv GROUP BY 1)
 SELECT doc_id, round(coalesce(sim, -1.0::DOUBLE), 6) AS pre_sim FROM documents LEFT JOIN m USING (doc_id)""")
 def _(t):
-    _, refs = rt.collect_references(bench_vectors(t), "item_id", "vec")
+    vectors = word_vectors(t)
+    _, refs = rt.collect_references(bench_vectors(t, vectors), "item_id", "vec")
     score = rt.max_similarity(refs)
-    return doc_vectors(t).select("doc_id", F.round(score(F.col("vec")), 6).alias("pre_sim"))
+    return doc_vectors(t, vectors).select("doc_id", F.round(score(F.col("vec")), 6).alias("pre_sim"))
 
 
 CENTRES = f"""centre_dims AS (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range({DIM})) AS i FROM embeddings) GROUP BY 1, 2),
@@ -140,7 +143,8 @@ def _(t):
 m AS (SELECT doc_id, round(max(list_cosine_similarity(dv.vec, bv.vec)), 6) AS sim FROM dv, bv GROUP BY 1)
 SELECT doc_id, round(coalesce(sim, -1.0::DOUBLE), 6) AS sim FROM documents LEFT JOIN m USING (doc_id) ORDER BY 2 DESC, 1 OFFSET 20 LIMIT 20""")
 def _(t):
-    _, refs = rt.collect_references(bench_vectors(t), "item_id", "vec")
+    vectors = word_vectors(t)
+    _, refs = rt.collect_references(bench_vectors(t, vectors), "item_id", "vec")
     score = rt.max_similarity(refs)
-    scored = doc_vectors(t).select("doc_id", score(F.col("vec")).alias("sim"))
+    scored = doc_vectors(t, vectors).select("doc_id", score(F.col("vec")).alias("sim"))
     return rk.page(scored, [F.desc("sim"), F.asc("doc_id")], 20, 20)
