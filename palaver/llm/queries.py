@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, sharding, warc
+from . import jaccard, licenses, mixing, sharding, warc
 from .common import tables
 
 QUERIES = {}
@@ -18,6 +18,11 @@ def register(fn):
     return fn
 
 
+@register
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(tables(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @register
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     out = mixing.mix(tables(spark, folder, "documents"))
