@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, sharding, warc
+from . import decontam, jaccard, licenses, mixing, sharding, warc
 from .common import tables
 
 QUERIES = {}
@@ -18,6 +18,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find(tables(spark, folder, "documents"), tables(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("coverage", F.col("covered") / F.col("item_words"))
+
+
 @register
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(tables(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
