@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, mixing, sharding, toxicity, urls, warc
+from . import chat, decontam, hnsw, jaccard, licenses, mixing, sharding, toxicity, urls, warc
 from .common import tables
 
 QUERIES = {}
@@ -73,6 +73,11 @@ def op5_filter_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(tables(spark, folder, "pages")).withColumnRenamed("id", "page_id")
 
 
+@register
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_duplicates(tables(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @register
 def op7_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     out = warc.archive(tables(spark, folder, "pages"))
