@@ -1,15 +1,14 @@
 """Sharding by Karmarkar-Karp differencing: equal bytes per shard although groups of rows cannot be divided.
 
-Rows of equal text form a group. Groups are dealt into bounded buckets by hash; inside each, partial partitions are
-combined, always the two of largest spread and in opposite order, until one is left. The partial partitions of the
-buckets are combined in the same way, some hundred at a time, until one is left over everything: a tuple of n_shards
-sums is all that a bucket hands on.
+Rows of equal text form a group. Partial partitions are combined, always the two of largest spread and in opposite
+order, until one is left. The items that are differenced are the groups themselves while there are at most ITEMS; of
+more groups, those heavier than a share of 1 / ITEMS of everything stay items of their own, and the others are bundled
+by hash, so that the list has at most 2 ITEMS sums however large the data.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, stored
 
 SHARDS = 40
-BUCKET_GROUPS = 10_000  # groups differenced by one task
-FAN_IN = 256  # partial partitions combined by one task
+ITEMS = 16_384  # bundles of light groups; also most heavy groups
 SLOT_ROWS = 50_000  # rows numbered by one task, about
 OVERHEAD = 16  # bytes of a row besides its text
 
@@ -52,36 +50,23 @@ def differencing(items: list[tuple[list[float], list]], k: int) -> list[tuple[fl
     return heap[0][2] if heap else [(0, [])] * k
 
 
-def _level(parts: DataFrame, k: int) -> DataFrame:
-    """(node, child, part, weight), a row per part of each child, to the same rows with the part of the node each goes to."""
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "child", "part"], ascending=[False, True, True], ignore_index=True)
-        children: dict = {}
-        for row, (child, weight) in enumerate(zip(pdf["child"], pdf["weight"])):
-            children.setdefault(child, []).append((int(weight), [row]))
-        into = [0] * len(pdf)
-        for to, (_, rows) in enumerate(differencing(list(children.values()), k)):
-            for row in rows:
-                into[row] = to
-        return pd.DataFrame({"node": pdf["node"], "child": pdf["child"], "part": pdf["part"], "weight": pdf["weight"], "into": into})
-
-    return stored(parts.groupBy("node").applyInPandas(combine, "node long, child string, part int, weight long, into int"))
+def balance(groups: DataFrame, k: int, items: int = ITEMS) -> DataFrame:
+    """(key, weight), one row per group, to (key, shard) with near equal weights of the shards 0 to k - 1."""
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    alone = F.lit(True) if n <= items else F.col("weight") * items >= total
+    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("key"), F.lit(items)).cast("string"))
+    named = groups.select("key", "weight", F.when(alone, F.col("key")).otherwise(bundle).alias("item"))
 
+    def difference(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", "item"], ascending=[False, True])
+        parts = differencing([[(int(w), [item])] for item, w in zip(pdf["item"], pdf["weight"])], k)
+        rows = [(item, shard) for shard, (_, members) in enumerate(parts) for item in members]
+        return pd.DataFrame(rows, columns=["item", "shard"])
 
-def balance(groups: DataFrame, k: int, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
-    """(key, weight), one row per group, to (key, shard) with near equal weights of the shards 0 to k - 1."""
-    n = max(1, math.ceil(groups.count() / bucket_groups))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(n))
-    level = _level(groups.select(bucket.alias("node"), F.col("key").alias("child"), F.lit(0).alias("part"), "weight"), k)
-    where = level.select(F.col("child").alias("key"), "node", F.col("into").alias("part"))
-    while n > 1:
-        n = math.ceil(n / fan_in)
-        sums = level.groupBy("node", "into").agg(F.sum("weight").alias("weight"))
-        up = sums.select(F.pmod("node", F.lit(n)).alias("node"), F.col("node").cast("string").alias("child"), F.col("into").alias("part"), "weight")
-        level = _level(up, k)
-        moved = checked_broadcast(level.select(F.col("child").cast("long").alias("node"), F.col("node").alias("above"), "part", "into"))
-        where = where.join(moved, ["node", "part"]).select("key", F.col("above").alias("node"), F.col("into").alias("part"))
-    return where.select("key", F.col("part").alias("shard"))
+    sums = named.groupBy("item").agg(F.sum("weight").alias("weight"))
+    sums = sums.withColumn("all", F.lit(0))  # at most 2 * items rows
+    placed = stored(sums.groupBy("all").applyInPandas(difference, "item string, shard int"))
+    return named.join(checked_broadcast(placed), "item").select("key", "shard")
 
 
 def group_key(text: Column) -> Column:
@@ -90,7 +75,7 @@ def group_key(text: Column) -> Column:
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
-          keep: list[str] = (), bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
+          keep: list[str] = (), items: int = ITEMS) -> DataFrame:
     """(id, size, text_crc32, shard, slot) and the columns of `keep` for every row of docs.
 
     size is the text's UTF-8 bytes plus 16 (null: 16, checksum 0). Rows of equal text, empty ones and null ones each
@@ -104,7 +89,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_
                        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), group_key(text).alias("key"))
     light = base.select("id", "size", "text_crc32", "key") if keep else base
     rows = stored(light)
-    placed = stored(balance(stored(rows.groupBy("key").agg(F.sum("size").alias("weight"))), n_shards, bucket_groups))
+    placed = stored(balance(stored(rows.groupBy("key").agg(F.sum("size").alias("weight"))), n_shards, items))
     n = max(64, rows.count() // (n_shards * SLOT_ROWS))
     source = base if keep else rows
     sub = F.pmod(F.xxhash64("id", "key", F.lit("slot")), F.lit(n))
