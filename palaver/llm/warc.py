@@ -98,21 +98,19 @@ def chain(cands: DataFrame) -> DataFrame:
     runs = runs.withColumn("run", F.sum("breaks").over(at) - F.col("breaks"))
     runs = stored(runs)
     ends = runs.filter("breaks = 1 AND succ < file_size").select("file", F.col("run").alias("from_run"), F.col("succ").alias("off"))
-    hops = stored(ends.join(runs.select("file", "off", "run"), ["file", "off"]).select("file", "from_run", "run", F.col("off").alias("entry")))
     start = runs.filter("off = 0").select("file", "run")
-    jump = hops.select("file", "from_run", F.col("run").alias("to_run"))
-    reached = stored(start)
-    n = reached.count()
-    while n and not jump.isEmpty():
-        more = reached.join(jump, [reached["file"] == jump["file"], reached["run"] == jump["from_run"]]).select(reached["file"], F.col("to_run").alias("run"))
-        reached = stored(reached.union(more).distinct())
-        before, n = n, reached.count()
-        if n == before:
-            break
-        twice = jump.select(F.col("file"), F.col("from_run").alias("to_run"), F.col("to_run").alias("end"))
-        jump = stored(jump.join(twice, ["file", "to_run"]).select("file", "from_run", F.col("end").alias("to_run")))
-    entries = start.withColumn("entry", F.lit(0).cast("long")).union(
-        hops.join(reached.withColumnRenamed("run", "from_run"), ["file", "from_run"]).select("file", "run", "entry"))
+    entries = start.withColumn("entry", F.lit(0).cast("long"))
+    if not ends.isEmpty():
+        hops = stored(ends.join(runs.select("file", "off", "run"), ["file", "off"]).select("file", "from_run", "run", F.col("off").alias("entry")))
+        jump = hops.select("file", "from_run", F.col("run").alias("to_run"))
+        reached, n, before = start, -1, -2
+        while n != before:
+            more = reached.join(jump, [reached["file"] == jump["file"], reached["run"] == jump["from_run"]]).select(reached["file"], F.col("to_run").alias("run"))
+            reached = stored(reached.union(more).distinct())
+            before, n = n, reached.count()
+            twice = jump.select(F.col("file"), F.col("from_run").alias("to_run"), F.col("to_run").alias("end"))
+            jump = stored(jump.join(twice, ["file", "to_run"]).select("file", "from_run", F.col("end").alias("to_run")))
+        entries = entries.union(hops.join(reached.withColumnRenamed("run", "from_run"), ["file", "from_run"]).select("file", "run", "entry"))
     return runs.join(entries, ["file", "run"]).filter("off >= entry AND succ <= file_size").drop("run", "breaks", "entry")
 
 
@@ -135,10 +133,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = scan.withColumn("pos", F.row_number().over(at) - 1)
     end = F.sum(F.col("len") + size).over(at)
     placed = placed.withColumn("off", end - F.col("len") - 2 * size).withColumn("succ", F.col("off") + size + F.col("head_bytes") + F.col("content") + 8)
-    placed = stored(placed)
     good = placed.filter("pos > 0 AND content IS NOT NULL AND type <> ''")
     order = Window.partitionBy("file").orderBy("off")
-    records = stored(chain(good.select("file", F.row_number().over(order).alias("pos"), "off", "succ", "file_size", F.col("pos").alias("chunk"))))
+    records = chain(good.select("file", F.row_number().over(order).alias("pos"), "off", "succ", "file_size"))
     kept = stored(placed.join(records.select("file", "off"), ["file", "off"]))
     cut = kept.filter("digest IS NULL").select("file", "pos", "succ", "off", "head_bytes", "content")
     if not cut.isEmpty():  # records with the magic inside: read their chunks again and put them together
