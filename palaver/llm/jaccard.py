@@ -34,9 +34,10 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 CHUNKS = 64
-BITMAP = 16  # 64-bit words of a parity bitmap
+BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
+BITMAP_BYTES = 64 << 20  # bitmaps that may be broadcast
 GROUP_ENTRIES = 1 << 18  # index entries grouped by one task call, about
-STAR_ROUNDS = 5
+STAR_ROUNDS = 2
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
 
@@ -69,10 +70,21 @@ def digests(s: np.ndarray) -> tuple[int, int]:
     return [int(x) for x in np.array([a, b], U).view(np.int64)]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 64 * BITMAP cells; two bitmaps differ in at most as many bits as the sets in shingles."""
-    cells = np.bincount((mixed(s ^ M1) >> U(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each cell; two bitmaps differ in at most as many bits as the sets in shingles."""
+    n = max(BITMAP_BITS, 1 << len(s).bit_length())
+    cells = np.bincount((mixed(s ^ M1) & U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def allowance(a: int, b: int, percent: int = PERCENT) -> int:
@@ -255,66 +267,91 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
-    """(node, n, bits, items) of the documents whose ids are wanted."""
+    """(node, n, bits, items) of the documents whose ids are wanted, and of those without id."""
     def run(batches):
         for pdf in batches:
             found = [shingles(x, k, seed) for x in pdf["text"]]
             yield pd.DataFrame({"node": [digests(s)[0] for s in found], "n": [len(s) for s in found],
-                                "bits": [bitmap(s) for s in found], "items": [s.view(np.int64) for s in found]})
+                                "bits": [bitmap(s) for s in found], "items": [s.tobytes() for s in found]})
+
+    rows = docs.join(checked_broadcast(wanted), "id", "left_semi").union(docs.filter("id IS NULL")).select("text")
+    return stored(rows.mapInPandas(run, "node long, n long, bits binary, items binary"))
+
 
-    rows = docs.join(checked_broadcast(wanted), "id", "left_semi").select("text")
-    return stored(rows.mapInPandas(run, "node long, n long, bits array<long>, items array<long>"))
+def _near(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) without those whose sizes or bitmaps tell that they are not linked."""
+    side = lambda x: light.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
+    def run(batches):
+        for pdf in batches:
+            apart = np.array([differing_bits(x, y) for x, y in zip(pdf["bits_a"], pdf["bits_b"])], np.int64)
+            yield pdf.loc[(100 + percent) * apart <= (100 - percent) * (pdf["n_a"] + pdf["n_b"]).to_numpy(np.int64), ["a", "b"]]
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that are linked."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("items").alias(f"items_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    linked = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    return stored(both.filter(fits).filter(linked).select("a", "b"))
+    return both.mapInPandas(run, "a long, b long")
 
 
-def links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Component labels (node, component) of the linked nodes.
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the stored pairs (a, b) those that are linked, by their whole sets."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
+    one = side("a").join(checked_broadcast(pairs, rows=n_pairs), "a")
+    other = side("b").join(checked_broadcast(stored(pairs.select("b").distinct(), n_pairs)), "b", "left_semi")
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["items_a"], pdf["items_b"]):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return one.join(other, "b").mapInPandas(run, "a long, b long")
+
+
+def links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame | None:
+    """Component labels (node, component) of the linked nodes; None without links.
 
     groups: (sig, node). In each round every node that shares a signature with a node of another component is compared
     with one such node, that which it meets in most groups; the members met change from round to round. What is
     left after the last round is compared pair by pair.
     """
+    light = sets.select("node", "n", "bits")
+    if (sets.agg(F.sum(F.length("bits") + 24)).first()[0] or 0) <= BITMAP_BYTES:
+        light = F.broadcast(light)
     found = labels = None
-    left = groups
+    left = groups.withColumn("comp", F.col("node"))
     for turn in range(rounds + 1):
-        if labels is not None:
+        if found is not None:
+            labels = stored(components(found), n_found)
             named = left.select("sig", "node").join(checked_broadcast(labels), "node", "left")
             left = named.select("sig", "node", F.coalesce("component", "node").alias("comp"))
             apart = stored(left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig"))
-            left = stored(left.join(checked_broadcast(apart), "sig"))
-        else:
-            left = left.withColumn("comp", F.col("node"))
-        if left.isEmpty():
-            break
+            n_apart = apart.count()
+            if not n_apart:
+                break
+            left = stored(left.join(checked_broadcast(apart, rows=n_apart), "sig"))
         if turn < rounds:
             place = F.xxhash64("node", F.lit(turn))
-            heads = stored(left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), place).alias("head")))
-            met = left.join(heads, "sig").filter(F.col("comp") != F.col("head.comp"))
+            heads = left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), place).alias("head"))
+            met = left.join(stored(heads), "sig").filter(F.col("comp") != F.col("head.comp"))
             votes = met.groupBy("node", F.col("head.node").alias("b")).agg(F.count("*").alias("n"))
             pairs = votes.groupBy("node").agg(F.max(F.struct("n", "b"))["b"].alias("b")).select(F.col("node").alias("a"), "b")
         else:
-            light = sets.select("node", "n", "bits")
-            full = stored(left.join(light, "node"))
-            x, y = full.alias("x"), full.alias("y")
-            differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITMAP)), F.lit(0))
+            sized = left.join(light.select("node", "n"), "node")
+            x, y = sized.alias("x"), sized.alias("y")
             near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
             near = near & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            near = near & ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
             pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        new = _verified(stored(pairs), sets, percent)
-        if not new.isEmpty():
-            found = new if found is None else stored(found.union(new))
-            labels = components(found)
-    return labels
+        pairs = stored(_near(pairs, light, percent))
+        n_pairs = pairs.count()
+        if n_pairs:
+            new = stored(_verified(pairs, n_pairs, sets, percent), n_pairs)
+            found = new if found is None else found.union(new)
+            n_found = 2 * found.count()
+        elif turn == rounds:
+            break
+    return stored(components(found), n_found) if found is not None and n_found else None
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -345,8 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_buckets = max(256, int(0.5 * sum(n * mean for n, mean in stats.values())) // GROUP_ENTRIES)
         groups = _groups(docs, k, percent, seed, sketch, plan, n_buckets)
         met = groups.select("node").distinct().join(nodes, "node").select(F.col("first").alias("id")).filter("id IS NOT NULL").distinct()
-        sets = _sets(docs, stored(met), k, seed).dropDuplicates(["node"])
-        labels = links(groups, stored(sets), percent)
+        labels = links(groups, _sets(docs, stored(met), k, seed), percent)
     if labels is not None:
         named = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
         lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
