@@ -82,22 +82,24 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        share_percent: int = SHARE_PERCENT, most: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
-    """(id, source, size, source_size, target, taken) for every row of docs.
+        share_percent: int = SHARE_PERCENT, most: int = MOST_TIMES, seed: str = "mix", keep: list[str] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, taken, copies) and the columns of `keep` for every row of docs.
 
     size counts words (null text: 0); taken is a multiple of size, at most `most` times. Each source's taken words
     fall short of its target by less than its largest document (ids shared by several rows are taken together). A
     null source is a source of its own, null ids share one place on the line; no documents give no rows. Of other
     columns none is read, whatever their names.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = stored(src.withColumn("at", place(F.col("id"), seed)))
+    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
+    src = src.withColumn("at", place(F.col("id"), seed))
+    rows = stored(src.select("id", "source", "size", "at"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stored(targets(sizes, weights, share_percent, most))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = goal.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size"))
     cut = thresholds(rows, plan.select("source", "budget")).withColumnRenamed("source", "s")
     plan = checked_broadcast(stored(plan.join(cut, plan["source"].eqNullSafe(cut["s"])).drop("s").withColumnRenamed("source", "s")))
-    taken = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
+    every = src if keep else rows
+    taken = every.join(plan, every["source"].eqNullSafe(plan["s"]))
     copies = F.least(F.lit(most), F.col("times") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0))
-    return taken.select("id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return taken.select("id", *keep, "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
