@@ -12,9 +12,10 @@ most H = (a + b) (100 - PERCENT) / (100 + PERCENT) shingles.
   each side indexes the first H - 2p + 1 of its plain segments in one order common to all sets.
 * That order is by cost: the rarest segments first, as told by a sketch of shingle counts over all documents, segments
   without shingles last. p is chosen per class by the expected number of entries and of collisions.
-* Entries are grouped by signature. Members of a group are compared with one member at a time and drop out when they
-  share a component; only pairs of different components left after that are compared with each other, behind a test
-  of sizes and of parity bitmaps that never rejects a true pair. Every comparison counts whole sets.
+* Entries are grouped by signature, and groups of equal members are one. Each member is first compared with one other
+  that heads many of its groups, twice; the links found make components. Then the members of a group that are in
+  different components are compared pair by pair inside the task, by sizes and parity bitmaps that never reject a
+  true pair, and only pairs that pass leave it. Every link is verified by counting whole sets.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ PERCENT = 75
 SKETCH_BITS = 20
 CHUNKS = 64
 BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
-BITMAP_BYTES = 64 << 20  # bitmaps that may be broadcast
-GROUP_ENTRIES = 1 << 18  # index entries grouped by one task call, about
+GROUP_ENTRIES = 1 << 20  # index entries grouped by one task call, about
+COMPARED_ROWS = 50_000  # group members compared by one task call, about
+BLOCK = 2048  # members of a group compared by one task; of larger groups, any two blocks meet in some task
 STAR_ROUNDS = 2
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
@@ -78,8 +80,11 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def differing_bits(a: bytes, b: bytes) -> int:
+    return differing(np.frombuffer(a, U), np.frombuffer(b, U))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two bitmaps differ, the longer one folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) != len(y):
         if len(x) < len(y):
             x, y = y, x
@@ -213,7 +218,11 @@ def _sketch(rows: DataFrame, fan_in: int = 64) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray, plan: dict[int, int], n_buckets: int) -> DataFrame:
-    """(sig, node) of all signatures that at least two nodes have."""
+    """(grp, node, head0, head1, n): the members of each group of at least two nodes with a common signature.
+
+    Groups of equal members are one within a bucket of signatures, n being how many there were. The heads are the
+    first members in two orders by hash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     bits = max(1, n_buckets.bit_length() - 1)
 
@@ -260,10 +269,27 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
         sig, node = sig[new], node[new]
         same = sig[1:] == sig[:-1]
         more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pd.DataFrame({"sig": sig[more].view(np.int64), "node": node[more]})
+        sig, node = sig[more], node[more]
+        if not len(sig):
+            return pd.DataFrame({"grp": [], "node": [], "head0": [], "head1": [], "n": []})
+        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        sizes = np.diff(np.append(starts, len(sig)))
+        keys = node.view(U)
+        grp = mixed(np.add.reduceat(mixed(keys ^ M1), starts) ^ sizes.astype(U))
+        _, first, times = np.unique(grp, return_index=True, return_counts=True)
+        heads = []
+        for turn in range(STAR_ROUNDS):
+            rank = mixed(keys + U(turn + 1))
+            low = np.minimum.reduceat(rank, starts)
+            at = np.flatnonzero(rank == np.repeat(low, sizes))
+            heads.append(node[at[np.searchsorted(at, starts)]])
+        kept = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first])
+        many = sizes[first]
+        return pd.DataFrame({"grp": np.repeat(grp[first].view(np.int64), many), "node": node[kept], "head0": np.repeat(heads[0][first], many),
+                             "head1": np.repeat(heads[1][first], many), "n": np.repeat(times, many)})
 
     packed = docs.select("text").mapInPandas(index, "bucket long, sigs binary, nodes binary")
-    return stored(packed.groupBy("bucket").applyInPandas(group, "sig long, node long"))
+    return stored(packed.groupBy("bucket").applyInPandas(group, "grp long, node long, head0 long, head1 long, n long"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
@@ -309,48 +335,98 @@ def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) ->
     return one.join(other, "b").mapInPandas(run, "a long, b long")
 
 
+def _split(groups: DataFrame, n_rows: int) -> DataFrame:
+    """Groups (grp, node, comp) of more than BLOCK nodes as groups of two blocks each, so that any two nodes still meet."""
+    large = stored(groups.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), n_rows // BLOCK)
+    if large.isEmpty():
+        return groups
+    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
+    sized = groups.join(F.broadcast(large) if n_rows // BLOCK < 1_000_000 else large, "grp", "left")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    other = F.explode(F.when(F.col("size").isNotNull(), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1))))
+    both = sized.withColumn("mine", mine).withColumn("other", other)
+    pair = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))
+    return both.select(F.when(F.col("other") < 0, F.col("grp")).otherwise(pair).alias("grp"), "node", "comp")
+
+
+def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one group (grp, node, comp) and different components that sizes and bitmaps do not rule out.
+
+    A task gets whole groups, and the bitmap of each of their nodes once.
+    """
+    groups = stored(groups)
+    n_rows = groups.count()
+    groups = _split(groups, n_rows)
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(1 + n_rows // COMPARED_ROWS))
+    rows = groups.withColumn("bucket", bucket)
+    needed = rows.select(F.col("bucket").alias("task"), F.col("node").alias("key")).distinct()
+    needed = needed.join(light.select(F.col("node").alias("key"), "n", "bits"), "key")
+
+    def compare(members: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        facts = facts.drop_duplicates("key").sort_values("key", ignore_index=True)
+        nodes, n = facts["key"].to_numpy(np.int64), facts["n"].to_numpy(np.int64)
+        members = members.sort_values(["grp", "node"])
+        at = np.searchsorted(nodes, members["node"].to_numpy(np.int64))
+        comp = np.zeros(len(nodes), np.int64)
+        comp[at] = members["comp"].to_numpy(np.int64)
+        grp = members["grp"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
+        sizes = np.diff(np.append(starts, len(grp)))
+        bits = [np.frombuffer(x, U) for x in facts["bits"]]
+        done: set[int] = set()
+        out = []
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            fits = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            for code in np.unique(x[fits] * len(nodes) + y[fits]).tolist():
+                if code not in done:
+                    done.add(code)
+                    i, j = divmod(code, len(nodes))
+                    if (100 + percent) * differing(bits[i], bits[j]) <= (100 - percent) * (n[i] + n[j]):
+                        out.append((nodes[i], nodes[j]))
+
+        for k in np.unique(sizes[sizes > 1]):
+            which = starts[sizes == k]
+            left, right = np.triu_indices(k, 1)
+            step = max(1, 4_000_000 // len(left))
+            for i in range(0, len(which), step):
+                table = at[which[i:i + step, None] + np.arange(k)]
+                keep(table[:, left].ravel(), table[:, right].ravel())
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("bucket").cogroup(needed.groupBy("task")).applyInPandas(compare, "a long, b long").distinct()
+
+
 def links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame | None:
     """Component labels (node, component) of the linked nodes; None without links.
 
-    groups: (sig, node). In each round every node that shares a signature with a node of another component is compared
-    with one such node, that which it meets in most groups; the members met change from round to round. What is
-    left after the last round is compared pair by pair.
+    groups: (grp, node, head0, head1, n). In each round every node is compared with the head of another component that
+    it meets in most groups; what is left is compared pair by pair.
     """
     light = sets.select("node", "n", "bits")
-    if (sets.agg(F.sum(F.length("bits") + 24)).first()[0] or 0) <= BITMAP_BYTES:
-        light = F.broadcast(light)
-    found = labels = None
-    left = groups.withColumn("comp", F.col("node"))
+    found = None
     for turn in range(rounds + 1):
-        if found is not None:
-            labels = stored(components(found), n_found)
-            named = left.select("sig", "node").join(checked_broadcast(labels), "node", "left")
-            left = named.select("sig", "node", F.coalesce("component", "node").alias("comp"))
-            apart = stored(left.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig"))
-            n_apart = apart.count()
-            if not n_apart:
-                break
-            left = stored(left.join(checked_broadcast(apart, rows=n_apart), "sig"))
+        labels = stored(components(found), n_found) if found is not None else None
+        comp = lambda x: F.coalesce(f"comp_{x}", x)
+        named = groups
+        for x in ["node", f"head{turn}"][: 1 + (turn < rounds)] if labels is not None else []:
+            named = named.join(checked_broadcast(labels.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}")), rows=n_found), x, "left")
+        mine = comp("node") if labels is not None else F.col("node")
         if turn < rounds:
-            place = F.xxhash64("node", F.lit(turn))
-            heads = left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), place).alias("head"))
-            met = left.join(stored(heads), "sig").filter(F.col("comp") != F.col("head.comp"))
-            votes = met.groupBy("node", F.col("head.node").alias("b")).agg(F.count("*").alias("n"))
+            head = f"head{turn}"
+            met = named.filter(mine != (comp(head) if labels is not None else F.col(head)))
+            votes = met.groupBy("node", F.col(head).alias("b")).agg(F.sum("n").alias("n"))
             pairs = votes.groupBy("node").agg(F.max(F.struct("n", "b"))["b"].alias("b")).select(F.col("node").alias("a"), "b")
+            pairs = _near(pairs, light, percent)
         else:
-            sized = left.join(light.select("node", "n"), "node")
-            x, y = sized.alias("x"), sized.alias("y")
-            near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-            near = near & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = stored(_near(pairs, light, percent))
+            pairs = _compared(named.select("grp", "node", mine.alias("comp")).distinct(), light, percent)
+        pairs = stored(pairs)
         n_pairs = pairs.count()
         if n_pairs:
             new = stored(_verified(pairs, n_pairs, sets, percent), n_pairs)
             found = new if found is None else found.union(new)
             n_found = 2 * found.count()
-        elif turn == rounds:
-            break
     return stored(components(found), n_found) if found is not None and n_found else None
 
 
@@ -379,7 +455,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total = float(sketch.sum(dtype=np.int64))
         common = sketch > max(16.0, 4 * total / len(sketch))
         plan = allocate(stats, 1 - float(sketch[common].sum(dtype=np.int64)) / max(total, 1.0), percent)
-        n_buckets = max(256, int(0.5 * sum(n * mean for n, mean in stats.values())) // GROUP_ENTRIES)
+        n_buckets = max(32, int(0.5 * sum(n * mean for n, mean in stats.values())) // GROUP_ENTRIES)
         groups = _groups(docs, k, percent, seed, sketch, plan, n_buckets)
         met = groups.select("node").distinct().join(nodes, "node").select(F.col("first").alias("id")).filter("id IS NOT NULL").distinct()
         labels = links(groups, _sets(docs, stored(met), k, seed), percent)
