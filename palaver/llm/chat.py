@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = "struct<kind:string,number:int,ref:string,tokens:long>"
 PIECE = (f"conv_key string, seq long, role string, formatted string, mask array<struct<first:int,last:int>>, "
@@ -139,6 +141,7 @@ def format_turns(turns: DataFrame, parts: Column, conv_col: str = "conv_id", tur
     formatted that hold an assistant's text. conv_key is the id as text. Other columns are not read. No rows give no
     rows.
     """
+    small_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_col).cast("string").alias("conv_key"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
                         F.coalesce(parts, F.array().cast(f"array<{PART}>")).cast(f"array<{PART}>").alias("parts"))
     rows = rows.repartition("conv_key").sortWithinPartitions("conv_key", "_turn", "role", "parts").drop("_turn")

@@ -18,6 +18,13 @@ def tables(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark, most: str = "4m") -> None:
+    """Hand whole texts to Python in batches of bounded bytes, unless the session asks for still smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "0").rstrip("b") or 0) > 4 << 20:
+        spark.conf.set(name, most)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

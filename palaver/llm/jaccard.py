@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, stored
+from .common import checked_broadcast, components, small_batches, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 rows.append((len(s), *digests(s)))
                 cells.append((s >> U(64 - SKETCH_BITS)).astype(np.int64))
                 held += len(s)
-                if held > 1 << 21:
+                if held > 1 << 19:
                     total += np.bincount(np.concatenate(cells), minlength=len(total))
                     cells, held = [], 0
             if cells:
@@ -254,7 +254,7 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
                     sigs.append(out)
                     nodes.append(node)
                     held += len(out)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield flush()
                     held = 0
             if (last := flush()) is not None:
@@ -437,13 +437,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank text) have no shingles and are linked with nothing; equal sets are linked; repeated rows and ids are kept.
     Null ids never name a component unless nothing else is in it. Other columns are not read. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seed = 0
     while True:
         scan = _scan(docs, k, seed)
+        n_rows = scan.count()
         rows = scan.filter("part IS NULL").select("id", "n", "node", "check")
         nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-        nodes = stored(nodes)
+        nodes = stored(nodes, n_rows)
         if nodes.filter("c1 <> c2").isEmpty():
             break
         seed += 1  # two different sets had one digest: start again with other hashes
@@ -458,11 +460,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_buckets = max(32, int(0.5 * sum(n * mean for n, mean in stats.values())) // GROUP_ENTRIES)
         groups = _groups(docs, k, percent, seed, sketch, plan, n_buckets)
         met = groups.select("node").distinct().join(nodes, "node").select(F.col("first").alias("id")).filter("id IS NOT NULL").distinct()
-        labels = links(groups, _sets(docs, stored(met), k, seed), percent)
+        labels = links(groups, _sets(docs, stored(met, n_rows), k, seed), percent)
     if labels is not None:
         named = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
         lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-        names = stored(stored(named).join(stored(lowest), "component").select("node", "component_id"))
+        names = stored(stored(named, n_rows).join(stored(lowest, n_rows), "component").select("node", "component_id"), n_rows)
     else:
         names = nodes.select("node", F.col("first").alias("component_id"))
     out = rows.join(names, (rows["node"] == names["node"]) & (rows["n"] > 0), "left")

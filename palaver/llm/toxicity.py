@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 TRAIN_ROWS = 10_000  # labelled rows the classifier is fitted on, at most about
 THRESHOLD = 0.3
@@ -276,6 +276,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     0. Repeated rows get equal scores. Columns besides those named are not read. No rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(character_model(gram_counts(docs, text_col)))
     train = stored(training_rows(docs, labels, id_col, text_col, label_id, label_col, train_rows))
     counts = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
