@@ -21,7 +21,7 @@ def tables(spark, folder: str, name: str) -> DataFrame:
 def small_batches(spark, most: str = "4m") -> None:
     """Hand whole texts to Python in batches of bounded bytes, unless the session asks for still smaller ones."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "0").rstrip("b") or 0) > 4 << 20:
+    if int(spark.conf.get(name).rstrip("b")) > 4 << 20:
         spark.conf.set(name, most)
 
 
