@@ -18,11 +18,11 @@ def tables(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark, most: str = "4m") -> None:
-    """Hand whole texts to Python in batches of bounded bytes, unless the session asks for still smaller ones."""
+def small_batches(spark, most: int = 4 << 20) -> None:
+    """Hand whole texts to Python in batches of bounded bytes, unless the session names a bound of its own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > 4 << 20:
-        spark.conf.set(name, most)
+    if spark.conf.get(name) in ("67108864b", "2147483647b"):  # defaults
+        spark.conf.set(name, f"{most}b")
 
 
 def word_count(text: Column) -> Column:
