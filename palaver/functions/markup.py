@@ -17,13 +17,17 @@ from . import text as tx
 M = "(?dm)"
 
 ENTITY_GT = ("&gt;", ">")
+# Entities that cannot start a quote are decoded in the text, the ampersand last.
+ENTITIES = [("&lt;", "<"), ("&quot;", '"'), ("&(?:#39|#x27|apos);", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# What stands in the parentheses of a link, which may hold one pair of its own.
+IN_LINK = r"[^()]*(?:\([^()]*\)[^()]*)*"
 DROP_QUOTES = (M + r"^[ \t]*>[^\n]*$", "")
 DROP_FENCES = (r"(?s)```.*?```", "")
 DROP_INDENTED = (M + r"^(    |\t)[^\n]*$", "")
 DROP_SPANS = (r"`[^`\n]*`", "")
 TO_TEXT = [
-    (r"!\[[^\]]*\]\([^)]*\)", ""),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1 "),
+    (r"!\[[^\]]*\]\(" + IN_LINK + r"\)", ""),
+    (r"\[([^\]]*)\]\(" + IN_LINK + r"\)", "$1 "),
     (r"\*\*([^*\n]+)\*\*", "$1 "),
     (r"__([^_\n]+)__", "$1 "),
     (r"\*([^*\n]+)\*", "$1 "),
@@ -31,11 +35,12 @@ TO_TEXT = [
     (M + r"^#{1,6}[ \t]+", ""),
     (M + r"^(-{3,}|\*{3,})$", ""),
     (M + r"^[ \t]*([-*+]|[0-9]+\.)[ \t]+", ""),
+    *ENTITIES,
     (tx.SPECIAL_CHARACTERS, ""),
 ]
 
-MD_LINK = r"\]\(([^)\s]+)[^)]*\)"
-MD_LINK_WHOLE = r"\[[^\]]*\]\([^)]*\)"
+MD_LINK = r"\]\(([^()\s]+(?:\([^()\s]*\)[^()\s]*)*)[^)]*\)"
+MD_LINK_WHOLE = r"\[[^\]]*\]\(" + IN_LINK + r"\)"
 # Fixed value: a URL in running text needs a slash.
 BARE_URL = r"(https?://)?[\w\-]+(\.[\w\-]+)+/[-a-zA-Z0-9+&@#/%?=~_|!:,;.]*[-a-zA-Z0-9+&@#/%=~_|]"
 QUOTE_RUN = M + r"(?:^[ \t]*(?:>|&gt;)[^\n]*\n?)+"
@@ -47,9 +52,10 @@ FORMATTING = [
     M + r"(?:^[ \t]*[-*+][ \t]+[^\n]*\n?)+",
     M + r"(?:^[ \t]*[0-9]+\.[ \t]+[^\n]*\n?)+",
     M + r"^(?:-{3,}|\*{3,})$",
-    r"\[[^\]]*\]\([^)]*\)",
+    MD_LINK_WHOLE,
     r"\*\*[^*\n]+\*\*|\*[^*\n]+\*",
     r"__[^_\n]+__",
+    r"(?:^|[\s(])_[^_\n]+_",
 ]
 
 # Tags that count as formatting.
@@ -62,13 +68,13 @@ HTML_TO_MD = [
     (HTML_NOISE, ""),
     (r"(?i)<title>[^<]*</title>", ""),
     (r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
-    (r"(?i)</?(?:b|strong)>", "**"),
-    (r"(?i)</?(?:i|em)>", "*"),
-    (r"(?i)</?code>", "`"),
-    (r"(?i)<h1>", "\n\n# "),
-    (r"(?i)<li>", "\n- "),
-    (r"(?i)<(?:blockquote|footer)>", "\n\n> "),
-    (r"(?i)<(?:p|br|hr|/h1|/ul|/ol|div[^>]*|article)>", "\n\n"),
+    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
+    (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
+    (r"(?i)</?code(?:\s[^>]*)?>", "`"),
+    (r"(?i)<h[1-6](?:\s[^>]*)?>", "\n\n# "),
+    (r"(?i)<li(?:\s[^>]*)?>", "\n- "),
+    (r"(?i)<(?:blockquote|footer)(?:\s[^>]*)?>", "\n\n> "),
+    (r"(?i)<(?:p|br|hr|/h[1-6]|/ul|/ol|div|article)(?:\s[^>]*)?/?>", "\n\n"),
     (r"<[^>]*>", ""),
 ]
 

@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]+"
 WORD_APOSTROPHE = r"[\p{L}\p{N}_'’]+"
 WORD_OR_PUNCT = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SENTENCE = r"[^.!?\n]+[.!?]*"
-ELISION = r"^(l|d|j|m|t|s|c|n|qu)['’]"
+ELISION = r"^(l|d|j|m|t|s|c|n|qu|jusqu|lorsqu|puisqu|quoiqu)['’]"
 
 # Accents removed, and what replaces them.
 ACCENTED = "àâéèêëîïôöùüç"

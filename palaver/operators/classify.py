@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import CountVectorizer, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup as mk
 from ..functions import numeric as nm
 from ..functions import text as tx
+from ..session import write_once
 from . import evaluate as ev
 from . import frames as fr
 from . import ranking as rk
-from .sizing import pin_small
 
 SIDES = ["dgms_comment", "dgms_parent"]
 NON_WORD = ["is_post", "log2_n_words", "dgms_n_hyperlinks", "dgms_n_quotes"]
@@ -107,17 +111,30 @@ def train_linear(matrix: DataFrame, reg: float = 1e-4, max_iter: int = 50, weigh
                      maxIter=max_iter, standardization=False).fit(matrix)
 
 
-def train_repeatedly(matrix: DataFrame, row_id: str, n_repeat: int = 30, keep: float = 0.9, **kw):
-    """Fit on n_repeat stable random subsets and keep the best training accuracy."""
-    best, best_score = None, -1.0
-    for i in range(n_repeat):
+def train_repeatedly(matrix: DataFrame, row_id: str, n_repeat: int = 30, keep: float = 0.9, at_once: int = 4, **kw):
+    """Fit on n_repeat stable random subsets; (model, scores): the first of best training accuracy, and all accuracies.
+
+    The matrix is written once, and a few fits run side by side.
+    """
+    matrix = write_once(matrix)
+
+    def fit(i: int):
         u = nm.keyed_uniform(F.concat(F.col(row_id), F.lit(f"_{i}")))
         model = train_linear(matrix.filter(u < keep), **kw)
         hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-        score = model.transform(matrix).agg(hit).first()[0] or 0.0
-        if score > best_score:
-            best, best_score = model, score
-    return best, best_score
+        return model, model.transform(matrix).agg(hit).first()[0] or 0.0
+
+    with ThreadPool(at_once) as pool:
+        fits = pool.map(inheritable_thread_target(matrix.sparkSession)(fit), range(n_repeat))
+    return max(fits, key=lambda x: x[1])[0], [s for _, s in fits]
+
+
+def hinge_loss(matrix: DataFrame, model) -> float:
+    """Weighted mean hinge loss of a fitted boundary; that of the zero vector is 1."""
+    sign = 2 * F.col("label") - 1
+    margin = sign * F.get(vector_to_array("rawPrediction"), F.lit(1))
+    loss = F.sum(F.col("weight") * F.greatest(F.lit(0.0), 1 - margin)) / F.sum("weight")
+    return model.transform(matrix).select(loss).first()[0]
 
 
 def coefficient_table(spark, pipeline_model, svc) -> tuple[DataFrame, float]:
@@ -147,38 +164,40 @@ def cross_validate(rows: DataFrame, row_id: str, k: int = 5, vocab_size: int = 5
 
 # Scoring --------------------------------------------------------------------------------
 
-def long_features(df: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, side, block, feature, value): a few dozen rows per comment, no shuffle."""
-    def tagged(entries: Column, side: str, block: str) -> Column:
-        return F.transform(entries, lambda e: F.struct(
-            F.lit(side).alias("side"), F.lit(block).alias("block"), e["term"].alias("feature"), e["tf"].cast("double").alias("value")))
+def bag_score(coefs: dict[str, float]):
+    """Column function on token lists: (coef . x) / |x restricted to the model's tokens|, 0 without any."""
+    @F.arrow_udf("double")
+    def score(tokens):
+        import pyarrow as pa
 
-    groups = []
-    for side in SIDES:
-        nw = F.array(*[F.struct(F.lit(n).alias("term"), c.alias("tf")) for n, c in zip(NON_WORD, non_word_values(side))])
-        groups += [tagged(nw, side, "non_word"), tagged(tx.bag_of_words(F.col(side)["zoned_tokens"]), side, "BoW")]
-    return df.select(row_id, F.explode(F.concat(*groups)).alias("e")).select(row_id, "e.*")
+        out = []
+        for words in tokens.to_pylist():
+            known = Counter(w for w in words or () if w in coefs)
+            length = sum(n * n for n in known.values()) ** 0.5
+            out.append(sum(coefs[w] * n for w, n in sorted(known.items())) / length if known else 0.0)
+        return pa.array(out, pa.float64())
+
+    return score
 
 
 def linear_scores(df: DataFrame, row_id: str, coefs: DataFrame, intercept: float) -> DataFrame:
     """Intercept plus, per block, (coef . x) / |x restricted to the model's features|.
 
-    A block without known features adds 0. One aggregation per comment; partial sums
-    leave each task already reduced.
+    A block without known features adds 0. The coefficients are a fitted model of bounded size; they are sent to the
+    tasks, and each comment is scored inside its row, without a shuffle.
     """
-    hits = long_features(df, row_id).join(pin_small(coefs), ["side", "block", "feature"])
-    aggs = []
-    for i, (side, block) in enumerate(BLOCKS):
-        here = (F.col("side") == side) & (F.col("block") == block)
-        aggs += [F.sum(F.when(here, F.col("coef") * F.col("value"))).alias(f"d{i}"),
-                 F.sum(F.when(here, F.col("value") * F.col("value"))).alias(f"s{i}")]
-    sums = hits.groupBy(row_id).agg(*aggs)
+    model: dict = {block: {} for block in BLOCKS}
+    for r in coefs.collect():
+        model[r["side"], r["block"]][r["feature"]] = r["coef"]
     score = F.lit(float(intercept))
-    for i in range(len(BLOCKS)):
-        score = score + F.when(F.col(f"s{i}") > 0, F.col(f"d{i}") / F.sqrt(F.col(f"s{i}"))).otherwise(0.0)
-    scored = sums.select(row_id, score.alias("h2_score"))
-    out = df.join(scored, row_id, "left")
-    return out.withColumn("h2_score", F.coalesce("h2_score", F.lit(float(intercept))))
+    for side in SIDES:
+        weighted = [(model[side, "non_word"][n], c) for n, c in zip(NON_WORD, non_word_values(side)) if n in model[side, "non_word"]]
+        if weighted:
+            dot = sum((F.lit(k) * c for k, c in weighted[1:]), F.lit(weighted[0][0]) * weighted[0][1])
+            squares = sum((c * c for _, c in weighted[1:]), weighted[0][1] * weighted[0][1])
+            score = score + F.when(squares > 0, dot / F.sqrt(squares)).otherwise(0.0)
+        score = score + bag_score(model[side, "BoW"])(F.col(side)["zoned_tokens"])
+    return df.withColumn("h2_score", score)
 
 
 def selected(df: DataFrame, row_id: str, coefs: DataFrame, intercept: float) -> DataFrame:

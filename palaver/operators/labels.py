@@ -40,8 +40,10 @@ def clear_labels(table: DataFrame, dataset: str) -> DataFrame:
 
 
 def correct_labels(table: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Replace the label of the listed keys; all other rows stay."""
-    fix = corrections.select(*KEY, F.col("label").alias("_fixed")).dropDuplicates(KEY)
+    """Replace the label of the listed keys; all other rows stay. Of several corrections the last by label_time
+    counts where there is one, then the larger label."""
+    when = [F.col(c) for c in ("label_time",) if c in corrections.columns]
+    fix = corrections.groupBy(*KEY).agg(F.max_by("label", F.struct(*when, "label")).alias("_fixed"))
     return table.join(fix, KEY, "left").withColumn("label", F.coalesce("_fixed", "label")).drop("_fixed").select(*table.columns)
 
 

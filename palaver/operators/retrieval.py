@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vc
+from ..functions import wordlists as wl
+from ..session import write_once
 from . import ranking as rk
 from .sizing import pin_small_checked
 from .threads import lookup_inner
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-MAX_REFERENCES = 4096
-DIGITS = 6
+BLOCK_REFERENCES = 4096  # reference vectors that a task multiplies with at once
 
 
 def praise_tokens(raw: Column) -> Column:
@@ -57,12 +61,18 @@ def phrase_vectors(docs: DataFrame, row_id: str, tokens: Column, vectors: DataFr
     return out.select(row_id, F.coalesce(mean, vc.constant(dim)).alias("vec"))
 
 
-def collect_references(refs: DataFrame, name: str, vec: str, limit: int = MAX_REFERENCES) -> tuple[list, list]:
-    """Names and vectors of a reference set; a query list, so its size is checked."""
-    rows = refs.filter(F.col(vec).isNotNull()).select(name, vec).orderBy(name).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} reference vectors: query them in several calls")
-    return [r[0] for r in rows], [list(map(float, r[1])) for r in rows]
+def reference_blocks(refs: DataFrame, name: str, vec: str, limit: int = BLOCK_REFERENCES) -> Iterator[tuple[list, list]]:
+    """Names and vectors of a reference set of any size, in blocks of bounded size, by hash of the name."""
+    rows = write_once(refs.filter(F.col(vec).isNotNull()).select(name, vec))
+    n = rows.count()
+    n_blocks = 1 if n <= limit else -(-2 * n // limit)
+    block = F.pmod(F.xxhash64(name), F.lit(n_blocks))
+    for i in range(n_blocks):
+        found = (rows.filter(block == i) if n_blocks > 1 else rows).orderBy(name).collect()
+        for at in range(0, max(len(found), 1), limit):
+            part = found[at:at + limit]
+            if part or n_blocks == 1:
+                yield [r[0] for r in part], [list(map(float, r[1])) for r in part]
 
 
 def _similarity_kernel(references: list[list[float]]):
@@ -105,6 +115,30 @@ def max_similarity(references: list[list[float]]):
     return score
 
 
+def with_max_similarity(df: DataFrame, vec: str, refs: DataFrame, name: str, ref_vec: str, out: str, limit: int = BLOCK_REFERENCES) -> DataFrame:
+    """Add the largest cosine with any of a frame of references, block after block; -1 for a null vector or no reference."""
+    df = df.withColumn(out, F.lit(-1.0))
+    for i, (_, block) in enumerate(reference_blocks(refs, name, ref_vec, limit)):
+        if i and i % 16 == 0:
+            df = write_once(df)  # else the plan grows with the number of blocks
+        df = df.withColumn(out, F.greatest(out, max_similarity(block)(F.col(vec))))
+    return df
+
+
+def pre_sim_score(df: DataFrame, row_id: str, text: Column, vectors: DataFrame, dim: int, sentences: list[str] = wl.PRAISE_SENTENCES) -> DataFrame:
+    """(row_id, pre_sim): largest cosine of a text's vector with that of any of the sentences."""
+    spark = df.sparkSession
+    asked = spark.createDataFrame(list(enumerate(sentences)), "_i int, _s string")
+    refs = phrase_vectors(asked, "_i", phrase_tokens(F.col("_s")), vectors, dim)
+    docs = doc_vectors(df, row_id, praise_tokens(text), vectors, dim)
+    return with_max_similarity(docs, "vec", refs, "_i", "vec", "pre_sim").select(row_id, "pre_sim")
+
+
+def most_similar_to(df: DataFrame, row_id: str, vec: str, refs: DataFrame, name: str, ref_vec: str, k: int, limit: int = BLOCK_REFERENCES) -> DataFrame:
+    """most_similar for a frame of references of any size."""
+    return reduce(DataFrame.unionByName, (most_similar(df, row_id, vec, names, block, k) for names, block in reference_blocks(refs, name, ref_vec, limit)))
+
+
 def most_similar(df: DataFrame, row_id: str, vec: str, names: list, references: list[list[float]], k: int) -> DataFrame:
     """For each named reference its k most similar rows: (query, row_id, sim, rank).
 
@@ -112,6 +146,9 @@ def most_similar(df: DataFrame, row_id: str, vec: str, names: list, references:
     little is shuffled however many rows there are. Similarities are rounded to six digits and ties
     go to the smaller id.
     """
+    if not references:
+        names, references = [None], [[0.0]]
+        df = df.limit(0)
     kernel = _similarity_kernel(references)
 
     def batches(it):
@@ -148,8 +185,7 @@ def most_similar(df: DataFrame, row_id: str, vec: str, names: list, references:
 def similarity_matrix(words: DataFrame, row_id: str, vec: str) -> DataFrame:
     """All pairwise cosines of a chosen word list: (a, b, sim).
 
-    The list is a query parameter of checked size; the pairs are the result asked for.
+    The pairs are the result asked for; the list is worked through in blocks.
     """
-    names, references = collect_references(words, row_id, vec)
-    return most_similar(words, row_id, vec, names, references, len(names)).select(
+    return most_similar_to(words, row_id, vec, words, row_id, vec, words.count()).select(
         F.col("query").alias("a"), F.col(row_id).alias("b"), "sim")

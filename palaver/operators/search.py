@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import markup as mk
 from ..functions import text as tx
+from ..session import write_once
 from . import frames as fr
 from . import threads as th
 
@@ -116,14 +117,15 @@ def text_search(docs: DataFrame, doc_id: str, field: str, text: str, filters: li
     # An index term is a substring of the lowercase text: a cheap test before tokenizing.
     maybe = docs.filter(tx.contains_any(F.lower(field), terms))
     hits = F.filter(tx.analyze_french(F.col(field)), lambda t: t.isin(terms))
-    counted = maybe.withColumn("_tf", F.explode(tx.bind(hits, frequencies)))
+    wanted = F.lit(True)
+    for f in filters:
+        wanted = wanted & f
+    # the analysis runs once: both passes below read the few numbers of the matching rows
+    counted = write_once(maybe.select(doc_id, wanted.alias("_wanted"), F.explode(tx.bind(hits, frequencies)).alias("_tf")))
     stats = counted.agg(F.array(*[F.count_if(F.get("_tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
     stats = stats.withColumn("n", docs.select(F.count(field)).scalar())
     frozen = stats.select(F.struct("n", "df")).scalar()
-    scored = counted
-    for f in filters:
-        scored = scored.filter(f)
-    scored = scored.withColumn("_s", frozen)
+    scored = counted.filter("_wanted").withColumn("_s", frozen)
     score = F.lit(0.0)
     for i in range(len(terms)):
         n_with = F.get(F.col("_s.df"), F.lit(i))

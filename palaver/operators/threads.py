@@ -20,11 +20,16 @@ NO_KEY = "\x00"
 
 
 def one_per_key(df: DataFrame, key: str, prefer: str | None = None) -> DataFrame:
-    """One row per key: the one with the smallest `prefer`, or any row when it is None."""
-    if prefer is None:
-        return df.dropDuplicates([key])
+    """One row per key: the first by `prefer` (created_utc where there is one), then by a hash of the row.
+
+    Which row stays does not depend on partitions or retries.
+    """
     others = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(prefer)).alias("_best"))
+    if not others:
+        return df.distinct()
+    first = prefer or ("created_utc" if "created_utc" in others else None)
+    order = F.struct(*([F.col(first)] if first else []), F.xxhash64(*others))
+    best = df.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_best"))
     return best.select(key, *[F.col("_best")[c].alias(c) for c in others]).select(*df.columns)
 
 
@@ -62,7 +67,8 @@ def lookup_inner(many: DataFrame, one: DataFrame, key: str, row_id: str) -> Data
 
 def enrich_with_submission(comments: DataFrame, subm: DataFrame, into: str, fields: list[str]) -> DataFrame:
     """Attach the listed submission fields as struct `into` (null when the post is unknown)."""
-    data = one_per_key(subm.select("name", *[f for f in fields if f != "name"]), "name")
+    when = [c for c in ("created_utc",) if c in subm.columns]
+    data = one_per_key(subm.select(*dict.fromkeys(["name", *fields, *when])), "name")
     data = data.select(F.col("name").alias("link_id"), F.struct(*fields).alias(into))
     return lookup(comments, data, "link_id", "name")
 
@@ -141,13 +147,14 @@ def bundle_threads(subm: DataFrame, comments: DataFrame, fields: list[str], per_
     cmts = comments.filter("link_id IS NOT NULL").select(
         "link_id", F.col("name").alias("_id"), F.struct(*fields).alias("_item"))
     lists = chunked_lists(cmts, "link_id", "_item", "_id", per_row).withColumnRenamed("link_id", "name")
-    joined = posts.join(lists, "name", "left")
-    empty = F.array().cast(joined.schema["items"].dataType)
-    return joined.select(
-        *posts.columns, F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"),
-        F.coalesce("n_chunks", F.lit(1).cast("long")).alias("n_chunks"),
-        F.coalesce("items", empty).alias("dgms_submdb_comments_list"),
-    )
+    # The chunks look up their post, so those of a hot thread stay in many tasks; silent posts come from an anti join.
+    lists = lists.withColumn("_chunk_id", F.concat_ws("/", "name", F.col("chunk").cast("string")))
+    answered = lookup_inner(lists, posts, "name", "_chunk_id")
+    silent = posts.join(cmts.select(F.col("link_id").alias("name")).distinct(), "name", "left_anti")
+    shown = [*posts.columns, "chunk", "n_chunks", "items"]
+    empty = F.array().cast(answered.schema["items"].dataType)
+    silent = silent.select(*posts.columns, F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("n_chunks"), empty.alias("items"))
+    return answered.select(*shown).unionByName(silent).withColumnRenamed("items", "dgms_submdb_comments_list")
 
 
 def children_of(nodes: DataFrame) -> DataFrame:

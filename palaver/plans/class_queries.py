@@ -99,29 +99,48 @@ def _norms() -> str:
 
 @query("cls3_feature_matrix", v.with_views(*BASE, FEATS, LABELS) + f"SELECT name, {_norms()} FROM feats JOIN name_labels USING (name)")
 def _(t):
-    _, m = cl.feature_matrix(training_rows(t), 200_000)  # every token is in the vocabulary
+    rows = training_rows(t)
+    tokens = rows.select(F.explode(F.concat(*[F.col(s)["zoned_tokens"] for s in cl.SIDES])).alias("w"))
+    _, m = cl.feature_matrix(rows, max(1, tokens.distinct().count()))  # every token is in the vocabulary
     blocks = [F.round(vc.norm(vector_to_array(f"{side}_{b}")), 6).alias(f"{side}_{b}_norm") for side in cl.SIDES for b in ("nw", "bow")]
     return m.select("name", *blocks)
 
 
-@query("cls4_train_linear")
-def _(t):
-    pipe, m = cl.feature_matrix(training_rows(t), 500)
-    svc = cl.train_linear(m, max_iter=10)
-    coefs, _ = cl.coefficient_table(t.spark, pipe, svc)
-    return coefs
+TRAINING = ("training AS (SELECT c.name, label FROM comments c JOIN name_labels USING (name))",)
 
 
-@query("cls5_train_repeatedly")
+@query("cls4_train_linear", v.with_views(*BASE, LABELS, *TRAINING) + """
+SELECT count(*) AS n_rows, 0::BIGINT AS n_other_scores, true AS better_than_zero FROM training""")
+def _(t):
+    """Rows trained on, rows whose score by the coefficient table differs from the model's, and whether the loss fell."""
+    rows = training_rows(t)
+    pipe, m = cl.feature_matrix(rows)
+    svc = cl.train_linear(m)
+    coefs, intercept = cl.coefficient_table(t.spark, pipe, svc)
+    raw = svc.transform(m).select("name", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("raw"))
+    both = cl.linear_scores(rows, "name", coefs, intercept).select("name", "h2_score").join(raw, "name")
+    better = cl.hinge_loss(m, svc) < 1.0
+    other = F.count_if(F.abs(F.col("raw") - F.col("h2_score")) > 1e-6)
+    return both.agg(F.count("*").alias("n_rows"), other.alias("n_other_scores")).withColumn("better_than_zero", F.lit(better))
+
+
+@query("cls5_train_repeatedly", v.with_views(*BASE, LABELS, *TRAINING) + """
+SELECT count(*) AS n_rows, 30::BIGINT AS n_fits, true AS best_is_largest FROM training""")
 def _(t):
-    _, m = cl.feature_matrix(training_rows(t), 500)
-    _, score = cl.train_repeatedly(m, "name", n_repeat=2, max_iter=5)
-    return t.labels.agg(F.count("*").alias("n_labels")).withColumn("train_accuracy", F.lit(score))
+    """Rows of the matrix, number of fits, and whether the model kept has the largest accuracy of all."""
+    _, m = cl.feature_matrix(training_rows(t))
+    best, scores = cl.train_repeatedly(m, "name")
+    hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    largest = F.abs(hit - F.lit(max(scores))) < 1e-12
+    return best.transform(m).agg(F.count("*").alias("n_rows"), F.lit(len(scores)).cast("long").alias("n_fits"), largest.alias("best_is_largest"))
 
 
-@query("cls6_cross_validate")
+@query("cls6_cross_validate", v.with_views(*BASE, LABELS, *TRAINING) + f"""
+SELECT floor({v.sql_uniform('name')} * 5)::BIGINT AS fold, count(*) AS n_rows, count(*) FILTER (WHERE label > 0.5) AS n_positive FROM training GROUP BY 1""")
 def _(t):
-    return cl.cross_validate(training_rows(t), "name", k=3, vocab_size=500, max_iter=5)
+    """Rows of each fold by what became of them."""
+    out = cl.cross_validate(training_rows(t), "name")
+    return out.select("fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_positive"))
 
 
 INTERCEPT = -0.05

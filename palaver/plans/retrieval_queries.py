@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vc
+from ..functions import wordlists as wl
 from ..operators import ranking as rk
 from ..operators import retrieval as rt
 from ..session import write_once
 from . import views as v
-from .registry import query, sql_all
+from .registry import query, quoted, sql_all
 from .text_queries import STOP, sql_ends, sql_sentences
 
 DIM = 64
@@ -18,7 +19,8 @@ DIM = 64
 
 def term_tokens(t):
     """All normalised terms of documents and benchmark texts."""
-    texts = t.documents.select("text").unionByName(t.benchmark.select("text"))
+    asked = t.spark.createDataFrame([(x,) for x in wl.PRAISE_SENTENCES], "text string")
+    texts = t.documents.select("text").unionByName(t.benchmark.select("text")).unionByName(asked)
     return texts.select(F.explode(F.array_distinct(rt.phrase_tokens(F.col("text")))).alias("token")).distinct()
 
 
@@ -43,8 +45,10 @@ def sql_phrase_tokens(expr: str) -> str:
             f"lambda w: w <> '' AND w NOT IN ({STOP}))")
 
 
-WV = f"""n_vec AS (SELECT count(*) AS n FROM embeddings),
-toks AS (SELECT DISTINCT token FROM (SELECT unnest({sql_phrase_tokens('text')}) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark))),
+ASKED = ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(wl.PRAISE_SENTENCES))
+WV = f"""asked AS (SELECT * FROM (VALUES {ASKED}) AS q(i, text)),
+n_vec AS (SELECT count(*) AS n FROM embeddings),
+toks AS (SELECT DISTINCT token FROM (SELECT unnest({sql_phrase_tokens('text')}) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM asked))),
 wv AS (SELECT token, embedding::DOUBLE[] AS vec FROM (SELECT token, ('0x' || substr(md5(token), 1, 8))::BIGINT % (n * 4) AS vec_id FROM toks, n_vec) JOIN embeddings USING (vec_id))"""
 
 DOC_TOKENS = f"""ends AS (SELECT doc_id, {sql_ends('s', 2, 2)} AS e FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents)),
@@ -84,14 +88,15 @@ def _(t):
     return bench_vectors(t, word_vectors(t)).select("item_id", F.round(F.get(vec, F.lit(0)), 6).alias("first"), F.round(vc.total(vec), 6).alias("total"))
 
 
-@query("ret3_pre_sim_score", f"""WITH {WV}, {DOC_TOKENS}, {sql_vectors('dt', 'doc_id', 'dv', 'sum')}, {BENCH},
-m AS (SELECT doc_id, max(list_cosine_similarity(dv.vec, bv.vec)) AS sim FROM dv, bv GROUP BY 1)
+ASKED_VECTORS = f"asked_tokens AS (SELECT i AS q, unnest({sql_phrase_tokens('text')}) AS token FROM asked),\n" + sql_vectors("asked_tokens", "q", "av", "avg")
+
+
+@query("ret3_pre_sim_score", f"""WITH {WV}, {DOC_TOKENS}, {sql_vectors('dt', 'doc_id', 'dv', 'sum')}, {ASKED_VECTORS},
+m AS (SELECT doc_id, max(coalesce(list_cosine_similarity(dv.vec, av.vec), 0)) AS sim FROM dv, (SELECT i, vec FROM asked LEFT JOIN av ON av.q = asked.i) av GROUP BY 1)
 SELECT doc_id, round(coalesce(sim, -1.0::DOUBLE), 6) AS pre_sim FROM documents LEFT JOIN m USING (doc_id)""")
 def _(t):
-    vectors = word_vectors(t)
-    _, refs = rt.collect_references(bench_vectors(t, vectors), "item_id", "vec")
-    score = rt.max_similarity(refs)
-    return doc_vectors(t, vectors).select("doc_id", F.round(score(F.col("vec")), 6).alias("pre_sim"))
+    out = rt.pre_sim_score(t.documents, "doc_id", F.col("text"), word_vectors(t), DIM)
+    return out.select("doc_id", F.round("pre_sim", 6).alias("pre_sim"))
 
 
 CENTRES = f"""centre_dims AS (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range({DIM})) AS i FROM embeddings) GROUP BY 1, 2),
@@ -100,8 +105,7 @@ centres AS (SELECT label, list(x ORDER BY i) AS vec FROM centre_dims GROUP BY 1)
 
 def label_queries(t):
     """One query vector per label: the sum of its vectors."""
-    sums = t.embeddings.groupBy("label").agg(vc.sum_per_dim(F.col("embedding"), DIM).alias("vec"))
-    return rt.collect_references(sums, "label", "vec")
+    return t.embeddings.groupBy("label").agg(vc.sum_per_dim(F.col("embedding"), DIM).alias("vec"))
 
 
 SIMS = f"WITH {CENTRES}, sims AS (SELECT label::BIGINT AS query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], vec), 6) AS sim FROM (SELECT vec_id, embedding FROM embeddings), centres)"
@@ -110,8 +114,7 @@ SIMS = f"WITH {CENTRES}, sims AS (SELECT label::BIGINT AS query, vec_id, round(l
 @query("ret4_rank_by_similarity", f"""{SIMS}
 SELECT query, vec_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rank FROM sims) WHERE rank <= 1000""")
 def _(t):
-    names, refs = label_queries(t)
-    out = rt.most_similar(t.embeddings, "vec_id", "embedding", names, refs, 1000)
+    out = rt.most_similar_to(t.embeddings, "vec_id", "embedding", label_queries(t), "label", "vec", 1000)
     return out.withColumn("query", F.col("query").cast("long"))
 
 
@@ -134,8 +137,7 @@ def _(t):
   FROM embeddings e, words w)
 SELECT query, vec_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
 def _(t):
-    names, refs = rt.collect_references(query_words(t), "vec_id", "embedding")
-    out = rt.most_similar(t.embeddings, "vec_id", "embedding", names, refs, 20)
+    out = rt.most_similar_to(t.embeddings, "vec_id", "embedding", query_words(t), "vec_id", "embedding", 20)
     return out.withColumn("query", F.col("query").cast("long"))
 
 
@@ -144,7 +146,5 @@ m AS (SELECT doc_id, round(max(list_cosine_similarity(dv.vec, bv.vec)), 6) AS si
 SELECT doc_id, round(coalesce(sim, -1.0::DOUBLE), 6) AS sim FROM documents LEFT JOIN m USING (doc_id) ORDER BY 2 DESC, 1 OFFSET 20 LIMIT 20""")
 def _(t):
     vectors = word_vectors(t)
-    _, refs = rt.collect_references(bench_vectors(t, vectors), "item_id", "vec")
-    score = rt.max_similarity(refs)
-    scored = doc_vectors(t, vectors).select("doc_id", score(F.col("vec")).alias("sim"))
+    scored = rt.with_max_similarity(doc_vectors(t, vectors), "vec", bench_vectors(t, vectors), "item_id", "vec", "sim").select("doc_id", "sim")
     return rk.page(scored, [F.desc("sim"), F.asc("doc_id")], 20, 20)

@@ -59,8 +59,8 @@ def _(t):
 @query("src3_decode_json", """SELECT event_id, (props->>'k')::BIGINT AS k, false AS corrupt FROM events""")
 def _(t):
     lines = t.events.select("event_id", F.col("props").alias("value"))
-    parsed = F.from_json("value", "k bigint, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.select("event_id", parsed.alias("r")).select("event_id", "r.k", F.col("r._corrupt_record").isNotNull().alias("corrupt"))
+    out = du.decode_json(lines, "k bigint", keep=("event_id",))
+    return out.select("event_id", "k", F.col(du.CORRUPT).isNotNull().alias("corrupt"))
 
 
 @query("src4_read_text_sequence", "SELECT length(text) AS n_chars, count(*) AS n FROM documents GROUP BY 1")
@@ -147,11 +147,11 @@ def _(t):
 
 
 @query("src14_saved_vectorizer", f"""WITH {PPMI_TOKENS}, n AS (SELECT term, count(*) AS n_term FROM tok GROUP BY 1)
-SELECT row_number() OVER (ORDER BY n_term DESC) - 1 AS idx, n_term FROM n ORDER BY n_term DESC LIMIT 500""")
+SELECT row_number() OVER (ORDER BY n_term DESC, term) - 1 AS idx, term, n_term FROM n ORDER BY n_term DESC, term LIMIT 10000""")
 def _(t):
     path = scratch_path(t.spark, "vectorizer")
-    model, _ = tp.count_vectors(tokenized(t), "tokens", "bow", 500)
+    model, _ = tp.count_vectors(tokenized(t), "tokens", "bow")
     lx.save_vectorizer(model, path)
     vocabulary = tp.vocabulary_frame(t.spark, lx.load_vectorizer(path))
     per_term, _ = st.term_statistics(tokenized(t), "tokens")
-    return vocabulary.join(per_term, "term").select("idx", "n_term")
+    return vocabulary.join(per_term, "term").select("idx", "term", "n_term")

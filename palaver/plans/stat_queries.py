@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import features as ft
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..functions import wordlists as wl
@@ -15,7 +16,7 @@ from . import views as v
 from .registry import query, sql_all, sql_list
 from .text_queries import (
     HEUR, JOINED, NORM, RAW, SQL_COMMENT_FEATURES, SQL_SUBMISSION_FEATURES, STOP, WORDS,
-    comment_features, joined, sql_hob, sql_ngrams, submission_features, words,
+    joined, sql_hob, sql_ngrams, words,
 )
 
 T, C, S = v.THINGS, v.COMMENTS, v.SUBMISSIONS
@@ -33,8 +34,8 @@ def _(t):
   UNION ALL SELECT 'submission', unnest({SQL_SUBMISSION_FEATURES}) FROM submissions)""") + """
 SELECT kind, feature, count(*) AS n FROM f GROUP BY 1, 2""")
 def _(t):
-    a = st.feature_census(v.comments(t), comment_features()).select(F.lit("comment").alias("kind"), "feature", "n")
-    b = st.feature_census(v.submissions(t), submission_features()).select(F.lit("submission").alias("kind"), "feature", "n")
+    a = st.feature_census(v.comments(t), ft.comment_features(v.comments(t))).select(F.lit("comment").alias("kind"), "feature", "n")
+    b = st.feature_census(v.submissions(t), ft.submission_features(v.submissions(t))).select(F.lit("submission").alias("kind"), "feature", "n")
     return a.unionByName(b)
 
 
@@ -128,7 +129,7 @@ def _(t):
     return lists.select("source", "n_chunks", "chunk", F.array_join(F.col("items").cast("array<string>"), ",").alias("ids"))
 
 
-OCCURRENCES = f"""occ AS (SELECT {NORM} AS term, doc_id * 1000000 + pos AS idx, word FROM (
+OCCURRENCES = f"""occ AS (SELECT {NORM} AS term, {{'d': doc_id, 'p': pos}} AS idx, word FROM (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {sql_all('text', tx.WORD)} AS w FROM documents)))"""
 
 
@@ -136,13 +137,14 @@ def occurrences(t):
     """Every word with a unique rank, in corpus order."""
     w = t.documents.select("doc_id", F.posexplode(tx.split_words(F.col("text"))).alias("pos", "word"))
     return w.select(tx.normalize_term(F.col("word")).alias("term"),
-                    (F.col("doc_id") * 1000000 + F.col("pos")).alias("idx"), "word").filter("term IS NOT NULL")
+                    F.struct(F.col("doc_id").alias("d"), F.col("pos").cast("long").alias("p")).alias("idx"), "word").filter("term IS NOT NULL")
 
 
-@query("agg13_keep_lowest_index", f"""WITH {OCCURRENCES} SELECT term, min(idx) AS idx, min_by(word, idx) AS word FROM occ
+@query("agg13_keep_lowest_index", f"""WITH {OCCURRENCES} SELECT term, min(idx).d AS doc_id, min(idx).p AS pos, min_by(word, idx) AS word FROM occ
 WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY 1""")
 def _(t):
-    return rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"])
+    out = rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"])
+    return out.select("term", F.col("idx.d").alias("doc_id"), F.col("idx.p").alias("pos"), "word")
 
 
 @query("agg14_mean_pairwise_cosine", """
@@ -180,12 +182,14 @@ def _(t):
 
 
 @query("win4_prefix_until_unlabelled", """
-WITH x AS (SELECT d.doc_id, l.quality::BIGINT AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+WITH x AS (SELECT d.doc_id, l.quality::BIGINT AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  WHERE d.doc_id >= (SELECT min(doc_id) FROM labels))
 SELECT * FROM x WHERE doc_id < coalesce((SELECT min(doc_id) FROM x WHERE quality IS NULL), 9223372036854775807)""")
 def _(t):
     x = t.documents.select("doc_id").join(
         t.labels.select("doc_id", F.col("quality").cast("long").alias("quality")), "doc_id", "left")
-    return rk.prefix_until_missing(x, "doc_id", "quality")
+    first = t.labels.select(F.min("doc_id")).scalar()
+    return rk.prefix_until_missing(x.filter(F.col("doc_id") >= first), "doc_id", "quality")
 
 
 @query("win5_top_per_group", f"""WITH {WORDS}, n AS (SELECT source, lower(word) AS word, count(*) AS n FROM words GROUP BY 1, 2)
@@ -229,6 +233,8 @@ def _(t):
 
 
 @query("top7_first_distinct_tokens", f"""WITH {OCCURRENCES}
-SELECT term, min(idx) AS idx, min_by(word, idx) AS word FROM occ WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY 1 ORDER BY 2 LIMIT 50000""")
+SELECT term, min(idx).d AS doc_id, min(idx).p AS pos, min_by(word, idx) AS word FROM occ
+WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY 1 ORDER BY 2, 3 LIMIT 50000""")
 def _(t):
-    return rk.top_n(rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"]), [F.asc("idx")], 50000)
+    top = rk.top_n(rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"]), [F.asc("idx")], 50000)
+    return top.select("term", F.col("idx.d").alias("doc_id"), F.col("idx.p").alias("pos"), "word")

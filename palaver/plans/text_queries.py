@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import features as ft
 from ..functions import markup as mk
 from ..functions import numeric as nm
 from ..functions import text as tx
@@ -331,12 +332,10 @@ def _(t):
     return t.events.select("event_id", F.explode(tx.map_key_features(m)).alias("feature"))
 
 
-COMMENT_KEYS = ["author", "body", "link_id", "parent_id", "permalink", "score", "ups", "downs", "subreddit"]
-SUBMISSION_KEYS = ["title", "selftext", "link_flair_text", "permalink", "score", "ups", "downs", "is_self"]
-
-
-def key_cols(names, bools=()):
-    return {n: (F.col(n), n in bools) for n in names}
+KEYS = ["id", "given_name", "name", "link_id", "parent_id", "is_comment", "author", "body", "title", "selftext", "link_flair_text",
+        "created_utc", "score", "ups", "downs", "permalink", "subreddit", "is_self", "media_type", "depth",
+        "link_flair_type", "num_comments", "num_crossposts", "num_reports"]
+BOOLEAN_KEYS = ("is_comment", "is_self")
 
 
 def sql_keys(names, bools=()):
@@ -345,45 +344,23 @@ def sql_keys(names, bools=()):
     return f"list_filter([{', '.join(parts)}], lambda f: f IS NOT NULL)"
 
 
-def comment_features():
-    """Feature set of a comment row."""
-    return tx.feature_set(
-        tx.key_features(key_cols(COMMENT_KEYS)),
-        tx.integer_features("score", F.col("score")),
-        tx.timestamp_features("created_utc", F.col("created_utc")),
-        tx.textual_features("body", F.col("body")),
-    )
-
-
-def submission_features():
-    """Feature set of a submission row."""
-    return tx.feature_set(
-        tx.key_features(key_cols(SUBMISSION_KEYS, ("is_self",))),
-        tx.value_feature("link_flair_text", F.col("link_flair_text")),
-        tx.textual_features("title", F.col("title")),
-        tx.textual_features("selftext", F.col("selftext")),
-        tx.timestamp_features("created_utc", F.col("created_utc")),
-        *[tx.integer_features(f, F.col(f)) for f in ("score", "ups", "downs")],
-    )
-
-
 SQL_COMMENT_FEATURES = "list_distinct(list_concat(" + ", ".join([
-    sql_keys(COMMENT_KEYS), sql_int_features("score", "score"),
+    sql_keys(KEYS, BOOLEAN_KEYS), sql_int_features("score", "score"),
     sql_ts_features("created_utc", "created_utc"), sql_text_features("body", "body")]) + "))"
 SQL_SUBMISSION_FEATURES = "list_distinct(list_concat(" + ", ".join([
-    sql_keys(SUBMISSION_KEYS, ("is_self",)), "['`link_flair_text`=' || link_flair_text]",
+    sql_keys(KEYS, BOOLEAN_KEYS), *[f"CASE WHEN {f} IS NOT NULL THEN ['`{f}`=' || {f}] ELSE [] END" for f in ft.SUBMISSION_VALUES],
     sql_text_features("title", "title"), sql_text_features("selftext", "selftext"),
     sql_ts_features("created_utc", "created_utc"),
-    *[sql_int_features(f, f) for f in ("score", "ups", "downs")]]) + "))"
+    *[sql_int_features(f, f) for f in ft.SUBMISSION_COUNTS]]) + "))"
 
 
 @query("txt15_comment_features", v.with_views(T, C, S) + f"""
 SELECT name, unnest({SQL_COMMENT_FEATURES}) AS feature FROM comments
 UNION ALL SELECT name, unnest({SQL_SUBMISSION_FEATURES}) AS feature FROM submissions""")
 def _(t):
-    a = v.comments(t).select("name", F.explode(comment_features()).alias("feature"))
-    b = v.submissions(t).select("name", F.explode(submission_features()).alias("feature"))
-    return a.unionByName(b)
+    comments, posts = v.comments(t), v.submissions(t)
+    a = comments.select("name", F.explode(ft.comment_features(comments)).alias("feature"))
+    return a.unionByName(posts.select("name", F.explode(ft.submission_features(posts)).alias("feature")))
 
 
 @query("txt16_high_one_bit", f"SELECT doc_id, {sql_hob('n_chars')} AS bucket FROM documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import features as ft
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..operators import frames as fr
@@ -12,7 +13,7 @@ from ..operators import threads as th
 from . import views as v
 from .registry import query
 from .text_queries import (
-    HEUR, JOINED, RAW, SQL_COMMENT_FEATURES, comment_features, joined,
+    HEUR, JOINED, RAW, SQL_COMMENT_FEATURES, joined,
 )
 
 T, C, S = v.THINGS, v.COMMENTS, v.SUBMISSIONS
@@ -140,8 +141,8 @@ def _(t):
     from ..operators.sizing import pin_small
 
     cmts = v.comments(t)
-    counts = pin_small(st.feature_census(cmts, comment_features()))
-    return cmts.select("name", F.explode(comment_features()).alias("feature")).join(counts, "feature")
+    counts = pin_small(st.feature_census(cmts, ft.comment_features(cmts)))
+    return cmts.select("name", F.explode(ft.comment_features(cmts)).alias("feature")).join(counts, "feature")
 
 
 # Sets -----------------------------------------------------------------------------------
@@ -169,5 +170,5 @@ def _(t):
 @query("set3_distinct", v.with_views(T, C, f"f AS (SELECT unnest({SQL_COMMENT_FEATURES}) AS item FROM comments)") + """
 SELECT DISTINCT item FROM f UNION SELECT DISTINCT parent_id FROM comments""")
 def _(t):
-    feats = v.comments(t).select(F.explode(comment_features()).alias("item"))
+    feats = v.comments(t).select(F.explode(ft.comment_features(v.comments(t))).alias("item"))
     return feats.unionByName(v.comments(t).select(F.col("parent_id").alias("item"))).distinct()

@@ -15,7 +15,7 @@ from ..functions import wordlists as wl
 from .registry import Tables, quoted, sql_list, sql_steps
 
 FLAIRS = ["Politique", "Société", "Économie", "Science", "Écologie", "Culture"]
-EPOCH = 1_535_000_000
+EPOCH = 1_536_000_000
 FIRST_SENTENCE = r"^[^.!?\n]*"
 
 
@@ -71,6 +71,10 @@ def things(t: Tables) -> DataFrame:
         (~is_comment & (F.length(text) > 300)).alias("is_self"),
         F.when(~is_comment & (F.length(text) > 300), F.lit("rich")).alias("media_type"),
         turn.alias("depth"),
+        F.when(~is_comment, F.when(conv % 2 == 0, "richtext").otherwise("text")).alias("link_flair_type"),
+        F.when(~is_comment, conv % 13).alias("num_comments"),
+        F.when(~is_comment, conv % 3).alias("num_crossposts"),
+        F.when(~is_comment & (conv % 5 == 0), conv % 2).alias("num_reports"),
     )
 
 
@@ -101,7 +105,11 @@ THINGS = f"""things AS (
       'france' AS subreddit,
       turn = 0 AND length(text) > 300 AS is_self,
       CASE WHEN turn = 0 AND length(text) > 300 THEN 'rich' END AS media_type,
-      turn AS depth
+      turn AS depth,
+      CASE WHEN turn = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'richtext' ELSE 'text' END END AS link_flair_type,
+      CASE WHEN turn = 0 THEN conv_id % 13 END AS num_comments,
+      CASE WHEN turn = 0 THEN conv_id % 3 END AS num_crossposts,
+      CASE WHEN turn = 0 AND conv_id % 5 = 0 THEN conv_id % 2 END AS num_reports
     FROM conversations))"""
 COMMENTS = "comments AS (SELECT * FROM things WHERE is_comment)"
 SUBMISSIONS = "submissions AS (SELECT * FROM things WHERE NOT is_comment)"

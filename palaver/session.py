@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,11 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new sub-folder name in the shared folder."""
-    import uuid
+    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
 
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate folders this driver has made so far; how many there were.
+
+    For a caller that is done with all frames built on them.
+    """
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_SCRATCH)
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def spread_small_scan(df):

@@ -23,12 +23,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
-def decode_json(lines: DataFrame, schema: str, keep_raw: bool = False) -> DataFrame:
-    """Decode one JSON object per line; undecodable lines come out with only `_corrupt_record` set."""
+def decode_json(lines: DataFrame, schema: str, keep_raw: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Decode one JSON object per line, beside the columns of `keep`; undecodable lines come out with only `_corrupt_record` set."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("r")
-    cols = ["r.*"] + ([F.col("value").alias("raw_json")] if keep_raw else [])
-    return lines.select(parsed, "value").select(*cols)
+    cols = [*keep, "r.*"] + ([F.col("value").alias("raw_json")] if keep_raw else [])
+    return lines.select(*keep, parsed, "value").select(*cols)
 
 
 def read_dump(spark: SparkSession, path: str | list[str], schema: str, community: str | None = None) -> DataFrame:

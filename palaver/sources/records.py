@@ -53,11 +53,12 @@ def read_json_documents(spark: SparkSession, path: str, schema: str, pretty: boo
 
 
 def latest_per_key(df: DataFrame, key: str, version: Column | None = None) -> DataFrame:
-    """One row per key, as an upsert by id would leave it (largest version wins)."""
-    if version is None:
-        return df.dropDuplicates([key])
+    """One row per key, as an upsert by id would leave it: largest version, then largest hash of the row."""
     others = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("_r"))
+    if not others:
+        return df.distinct()
+    order = F.struct(*([version] if version is not None else []), F.xxhash64(*others))
+    best = df.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r"))
     return best.select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns)
 
 

@@ -1,5 +1,6 @@
 """Run registered queries against DuckDB: python tests/check_oracles.py [sf] [name-prefix ...]"""
 
+import os
 import sys
 import time
 
@@ -69,7 +70,7 @@ def main():
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
-    spark = local_session("8")
+    spark = local_session(os.environ.get("CPUS", "8"))
     folder = f"/root/testdata/sf{sf}"
     con = connect(folder)
     bad = 0

@@ -1,5 +1,6 @@
 """Known inputs and outputs of single operators."""
 
+import hashlib
 import math
 import random
 
@@ -110,16 +111,18 @@ def test_ppmi_and_svd(spark):
     assert np.allclose(gram, (u[:, :3] * sv[:3] ** 4) @ u[:, :3].T)
 
 
-def random_threads(spark, sizes=(10, 100, 0, 1, 2, 5, 50, 200)):
-    rng = random.Random(7)
-    subm, cmts = [], []
-    for i, n in enumerate(sizes):
-        names = [f"t3_s{i}"]
-        subm.append((f"s{i}", names[0], f"Titre {i}", "Voir [x](http://a.b/c)", "Science", "1536192000", 3, 3, 0))
+THREAD_SIZES = [3, 0, 17, 1, 120, 44]
+
+
+def threads_by_hash(spark):
+    """Threads of several sizes; each comment answers the post or an earlier comment picked by a digest."""
+    subm = [(f"s{i}", f"t3_s{i}", f"Titre {i}", "Voir [x](http://a.b/c)", "Science", "1536192000", 3, 3, 0) for i in range(len(THREAD_SIZES))]
+    cmts = []
+    for i, n in enumerate(THREAD_SIZES):
         for j in range(n):
-            name = f"t1_c{i}_{j}"
-            cmts.append((f"c{i}_{j}", name, names[0], rng.choice(names), "Bonjour **tous**.", "1536192001", 1, 1, 0))
-            names.append(name)
+            up = int(hashlib.md5(f"{i}/{j}".encode()).hexdigest(), 16) % (j + 1)
+            parent = f"t3_s{i}" if up == 0 else f"t1_c{i}_{up - 1}"
+            cmts.append((f"c{i}_{j}", f"t1_c{i}_{j}", f"t3_s{i}", parent, "Bonjour **tous**.", "1536192001", 1, 1, 0))
     s = spark.createDataFrame(subm, """id string, name string, title string, selftext string, link_flair_text string,
         created_utc string, score bigint, ups bigint, downs bigint""")
     c = spark.createDataFrame(cmts, """id string, name string, link_id string, parent_id string, body string,
@@ -128,23 +131,23 @@ def random_threads(spark, sizes=(10, 100, 0, 1, 2, 5, 50, 200)):
 
 
 def test_search_documents_fill_the_schema(spark):
-    subm, cmts = random_threads(spark)
+    subm, cmts = threads_by_hash(spark)
     docs = se.search_documents(subm, cmts)
-    assert docs.count() == 8 + 368
+    assert docs.count() == 6 + 185
     assert {r["field"] for r in se.schema_coverage(docs).collect() if r["n_present"]} == {f.name for f in se.SEARCH_SCHEMA}
     assert docs.filter("reddit_type = 'reddit_type_comment' AND dgms_parent_text_contents IS NULL").count() == 0
     assert len([c for c in se.comment_documents(cmts).columns if c != "link_id"]) == 12
 
 
 def test_children_and_bundles(spark):
-    subm, cmts = random_threads(spark)
-    assert th.children_of(subm.select("name").unionByName(cmts.select("name", "parent_id"), allowMissingColumns=True)).count() == 368
+    subm, cmts = threads_by_hash(spark)
+    assert th.children_of(subm.select("name").unionByName(cmts.select("name", "parent_id"), allowMissingColumns=True)).count() == 185
     bundles = th.bundle_threads(subm.select("name"), cmts, ["name"], per_row=20)
     rows = bundles.collect()
-    assert sum(len(r["dgms_submdb_comments_list"]) for r in rows) == 368
-    assert {r["name"] for r in rows} == {f"t3_s{i}" for i in range(8)}
+    assert sum(len(r["dgms_submdb_comments_list"]) for r in rows) == 185
+    assert {r["name"] for r in rows} == {f"t3_s{i}" for i in range(6)}
     assert max(len(r["dgms_submdb_comments_list"]) for r in rows) < 45
-    assert th.co_group(subm, cmts, ["name"]).count() == 368 + 1
+    assert th.co_group(subm, cmts, ["name"]).count() == 185 + 1
 
 
 def test_labels(spark):
@@ -171,3 +174,15 @@ def test_search_scores(spark):
     idf = {"voiture": math.log(1 + 2.5 / 1.5), "climat": math.log(1 + 1.5 / 2.5)}
     assert got == {1: round(idf["voiture"] * 2.2 * 2 / 3.2 + idf["climat"], 6), 2: round(idf["climat"], 6)}
     assert se.text_search(docs, "id", "body", "le la de").count() == 0
+
+
+def test_markdown_of_real_bodies(spark):
+    raw = lambda x: value(spark, mk.raw_text(F.lit(x)))
+    assert raw("a &amp; b &lt;c &quot;d&quot; l&#39;e") == "a & b <c \"d\" l'e"
+    assert raw("[a](http://x.y/z_(w)) b").split() == ["a", "b"]
+    assert value(spark, mk.hyperlinks(F.lit("[a](http://x.y/z_(w)) b"))) == ["http://x.y/z_(w)"]
+    assert value(spark, mk.formatting_count(F.lit("_x_ et *y*"))) == 2
+    assert value(spark, mk.formatting_count(F.lit("snake_case_name"))) == 0
+    md = value(spark, mk.html_to_markdown(F.lit('<h2>Titre</h2><p class="a">Para</p><li id=1>x</li>')))
+    assert [x for x in md.split("\n") if x] == ["# Titre", "Para", "- x"]
+    assert value(spark, tx.analyze_french(F.lit("lorsqu'elle jusqu'ici puisqu'on quoiqu'il"))) == value(spark, tx.analyze_french(F.lit("elle ici on il")))
