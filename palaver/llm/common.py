@@ -19,7 +19,9 @@ def tables(spark, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark, most: int = 4 << 20) -> None:
-    """Hand whole texts to Python in batches of bounded bytes, unless the session names a bound of its own."""
+    """Read whole texts, and hand them to Python, in small batches, unless the session names bounds of its own."""
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":  # default
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "2147483647b"):  # defaults
         spark.conf.set(name, f"{most}b")

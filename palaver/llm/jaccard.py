@@ -37,8 +37,8 @@ SKETCH_BITS = 20
 CHUNKS = 64
 BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
 GROUP_ENTRIES = 1 << 20  # index entries grouped by one task call, about
-COMPARED_ROWS = 50_000  # group members compared by one task call, about
-BLOCK = 2048  # members of a group compared by one task; of larger groups, any two blocks meet in some task
+COMPARED_ROWS = 20_000  # group members compared by one task call, about
+BLOCK = 1024  # members of a group compared by one task; of larger groups, any two blocks meet in some task
 STAR_ROUNDS = 2
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
@@ -83,13 +83,17 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return differing(np.frombuffer(a, U), np.frombuffer(b, U))
 
 
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that a set has with so many 64-bit words."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    return x
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two bitmaps differ, the longer one folded to the length of the shorter."""
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2:]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
 def allowance(a: int, b: int, percent: int = PERCENT) -> int:
@@ -373,26 +377,35 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
         sizes = np.diff(np.append(starts, len(grp)))
         bits = [np.frombuffer(x, U) for x in facts["bits"]]
-        done: set[int] = set()
-        out = []
+        short = np.array([folded(x, BITMAP_BITS // 64) for x in bits])
+        codes, held = [], 0
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal codes, held
             x, y = np.minimum(x, y), np.maximum(x, y)
             fits = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            for code in np.unique(x[fits] * len(nodes) + y[fits]).tolist():
-                if code not in done:
-                    done.add(code)
-                    i, j = divmod(code, len(nodes))
-                    if (100 + percent) * differing(bits[i], bits[j]) <= (100 - percent) * (n[i] + n[j]):
-                        out.append((nodes[i], nodes[j]))
+            codes.append(np.unique(x[fits] * len(nodes) + y[fits]))
+            held += len(codes[-1])
+            if held > 1 << 20:
+                codes = [np.unique(np.concatenate(codes))]
+                held = len(codes[0]) // 2  # what is left is without repetitions
 
         for k in np.unique(sizes[sizes > 1]):
             which = starts[sizes == k]
             left, right = np.triu_indices(k, 1)
-            step = max(1, 4_000_000 // len(left))
+            step = max(1, 250_000 // len(left))
             for i in range(0, len(which), step):
                 table = at[which[i:i + step, None] + np.arange(k)]
                 keep(table[:, left].ravel(), table[:, right].ravel())
+        every = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+        out = []
+        for i in range(0, len(every), 100_000):
+            x, y = np.divmod(every[i:i + 100_000], len(nodes))
+            most = (100 - percent) * (n[x] + n[y])
+            near = (100 + percent) * np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) <= most
+            for a, b, m in zip(x[near].tolist(), y[near].tolist(), most[near].tolist()):
+                if (100 + percent) * differing(bits[a], bits[b]) <= m:
+                    out.append((nodes[a], nodes[b]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return rows.groupBy("bucket").cogroup(needed.groupBy("task")).applyInPandas(compare, "a long, b long").distinct()
