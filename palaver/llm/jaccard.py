@@ -13,7 +13,7 @@ most H = (a + b) (100 - PERCENT) / (100 + PERCENT) shingles.
 * That order is by cost: the rarest segments first, as told by a sketch of shingle counts over all documents, segments
   without shingles last. p is chosen per class by the expected number of entries and of collisions.
 * Entries are grouped by signature, and groups of equal members are one. Each member is first compared with one other
-  that heads many of its groups, twice; the links found make components. Then the members of a group that are in
+  that heads many of its groups, a few times; the links found make components. Then the members of a group that are in
   different components are compared pair by pair inside the task, by sizes and parity bitmaps that never reject a
   true pair, and only pairs that pass leave it. Every link is verified by counting whole sets.
 """
@@ -36,10 +36,12 @@ PERCENT = 75
 SKETCH_BITS = 20
 CHUNKS = 64
 BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
-GROUP_ENTRIES = 1 << 20  # index entries grouped by one task call, about
+GROUP_ENTRIES = 1 << 19  # index entries grouped by one task call, about
 COMPARED_ROWS = 20_000  # group members compared by one task call, about
-BLOCK = 1024  # members of a group compared by one task; of larger groups, any two blocks meet in some task
-STAR_ROUNDS = 2
+SMALL = 64  # members of a group whose pairs are listed together with those of others
+BLOCK = 16_384  # members of a group compared by one task; of larger groups, any two blocks meet in some task
+STAR_ROUNDS = 3
+MOST_OF_COMPONENTS = 4  # pairs of two components that a task hands on at first; 16 times as many each time after
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
 
@@ -222,10 +224,10 @@ def _sketch(rows: DataFrame, fan_in: int = 64) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray, plan: dict[int, int], n_buckets: int) -> DataFrame:
-    """(grp, node, head0, head1, n): the members of each group of at least two nodes with a common signature.
+    """(grp, node, head0, head1, ..., n): the members of each group of at least two nodes with a common signature.
 
     Groups of equal members are one within a bucket of signatures, n being how many there were. The heads are the
-    first members in two orders by hash.
+    first members in STAR_ROUNDS orders by hash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     bits = max(1, n_buckets.bit_length() - 1)
@@ -264,6 +266,8 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
             if (last := flush()) is not None:
                 yield last
 
+    columns = ["grp", "node", *[f"head{i}" for i in range(STAR_ROUNDS)], "n"]
+
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.concatenate([np.frombuffer(x, U) for x in pdf["sigs"]])
         node = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
@@ -275,7 +279,7 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
         more = np.concatenate((same, [False])) | np.concatenate(([False], same))
         sig, node = sig[more], node[more]
         if not len(sig):
-            return pd.DataFrame({"grp": [], "node": [], "head0": [], "head1": [], "n": []})
+            return pd.DataFrame({x: [] for x in columns})
         starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         sizes = np.diff(np.append(starts, len(sig)))
         keys = node.view(U)
@@ -289,11 +293,11 @@ def _groups(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray
             heads.append(node[at[np.searchsorted(at, starts)]])
         kept = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first])
         many = sizes[first]
-        return pd.DataFrame({"grp": np.repeat(grp[first].view(np.int64), many), "node": node[kept], "head0": np.repeat(heads[0][first], many),
-                             "head1": np.repeat(heads[1][first], many), "n": np.repeat(times, many)})
+        table = [np.repeat(grp[first].view(np.int64), many), node[kept], *[np.repeat(h[first], many) for h in heads], np.repeat(times, many)]
+        return pd.DataFrame(dict(zip(columns, table)))
 
     packed = docs.select("text").mapInPandas(index, "bucket long, sigs binary, nodes binary")
-    return stored(packed.groupBy("bucket").applyInPandas(group, "grp long, node long, head0 long, head1 long, n long"))
+    return stored(packed.groupBy("bucket").applyInPandas(group, ", ".join(f"{x} long" for x in columns)))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
@@ -353,12 +357,15 @@ def _split(groups: DataFrame, n_rows: int) -> DataFrame:
     return both.select(F.when(F.col("other") < 0, F.col("grp")).otherwise(pair).alias("grp"), "node", "comp")
 
 
-def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) of nodes of one group (grp, node, comp) and different components that sizes and bitmaps do not rule out.
 
-    A task gets whole groups, and the bitmap of each of their nodes once.
+    A task gets whole groups, and the bitmap of each of their nodes once. Of the pairs between two components it hands
+    on the `most` likeliest; more tells that there were others.
     """
     groups = stored(groups)
+    apart = stored(groups.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp"))
+    groups = stored(groups.join(checked_broadcast(apart), "grp"))
     n_rows = groups.count()
     groups = _split(groups, n_rows)
     bucket = F.pmod(F.xxhash64("grp"), F.lit(1 + n_rows // COMPARED_ROWS))
@@ -377,6 +384,7 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
         sizes = np.diff(np.append(starts, len(grp)))
         bits = [np.frombuffer(x, U) for x in facts["bits"]]
+        longest = np.array([len(x) for x in bits])
         short = np.array([folded(x, BITMAP_BITS // 64) for x in bits])
         codes, held = [], 0
 
@@ -390,7 +398,15 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
                 codes = [np.unique(np.concatenate(codes))]
                 held = len(codes[0]) // 2  # what is left is without repetitions
 
-        for k in np.unique(sizes[sizes > 1]):
+        for start, k in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+            mine = at[start:start + k]
+            ids, of, counts = np.unique(comp[mine], return_inverse=True, return_counts=True)
+            rest = mine[of != np.argmax(counts)]  # pairs inside the largest component need no comparison
+            step = max(1, 250_000 // k)
+            for i in range(0, len(rest), step):
+                part = rest[i:i + step]
+                keep(np.repeat(part, k), np.tile(mine, len(part)))
+        for k in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
             which = starts[sizes == k]
             left, right = np.triu_indices(k, 1)
             step = max(1, 250_000 // len(left))
@@ -398,28 +414,43 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int) -> DataFrame:
                 table = at[which[i:i + step, None] + np.arange(k)]
                 keep(table[:, left].ravel(), table[:, right].ravel())
         every = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
-        out = []
+        found, apart = [], []
         for i in range(0, len(every), 100_000):
             x, y = np.divmod(every[i:i + 100_000], len(nodes))
-            most = (100 - percent) * (n[x] + n[y])
-            near = (100 + percent) * np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) <= most
-            for a, b, m in zip(x[near].tolist(), y[near].tolist(), most[near].tolist()):
-                if (100 + percent) * differing(bits[a], bits[b]) <= m:
-                    out.append((nodes[a], nodes[b]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return rows.groupBy("bucket").cogroup(needed.groupBy("task")).applyInPandas(compare, "a long, b long").distinct()
+            allowed = (100 - percent) * (n[x] + n[y])
+            short_apart = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * short_apart <= allowed
+            x, y, allowed, d = x[near], y[near], allowed[near], short_apart[near]
+            for j in np.flatnonzero(np.minimum(longest[x], longest[y]) > short.shape[1]):
+                d[j] = differing(bits[x[j]], bits[y[j]])
+            near = (100 + percent) * d <= allowed
+            found.append(np.stack([x[near], y[near]]))
+            apart.append(d[near] / (n[x[near]] + n[y[near]]))
+        if not found:
+            return pd.DataFrame({"a": [], "b": [], "more": []})
+        (x, y), share = np.concatenate(found, axis=1), np.concatenate(apart)
+        one, two = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((y, x, share, two, one))
+        one, two = one[order], two[order]
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.empty(0, bool)
+        start = np.flatnonzero(new)
+        nth = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one))))
+        kept = order[nth < most]
+        return pd.DataFrame({"a": nodes[x[kept]], "b": nodes[y[kept]], "more": np.full(len(kept), bool((nth >= most).any()))})
+
+    return rows.groupBy("bucket").cogroup(needed.groupBy("task")).applyInPandas(compare, "a long, b long, more boolean")
 
 
 def links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame | None:
     """Component labels (node, component) of the linked nodes; None without links.
 
-    groups: (grp, node, head0, head1, n). In each round every node is compared with the head of another component that
-    it meets in most groups; what is left is compared pair by pair.
+    groups: (grp, node, head0, head1, ..., n). In each round every node is compared with the head of another component
+    that it meets in most groups. What is left is compared pair by pair, the likeliest pairs of two components first,
+    until all have been that are still apart.
     """
     light = sets.select("node", "n", "bits")
-    found = None
-    for turn in range(rounds + 1):
+    found, turn, more, most = None, 0, True, MOST_OF_COMPONENTS
+    while turn < rounds or more:
         labels = stored(components(found), n_found) if found is not None else None
         comp = lambda x: F.coalesce(f"comp_{x}", x)
         named = groups
@@ -433,12 +464,15 @@ def links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: in
             pairs = votes.groupBy("node").agg(F.max(F.struct("n", "b"))["b"].alias("b")).select(F.col("node").alias("a"), "b")
             pairs = _near(pairs, light, percent)
         else:
-            pairs = _compared(named.select("grp", "node", mine.alias("comp")).distinct(), light, percent)
+            every = stored(_compared(named.select("grp", "node", mine.alias("comp")).distinct(), light, percent, most))
+            more, most = not every.filter("more").isEmpty(), 16 * most
+            pairs = every.select("a", "b").distinct()
         pairs = stored(pairs)
         n_pairs = pairs.count()
+        turn += 1
         if n_pairs:
             new = stored(_verified(pairs, n_pairs, sets, percent), n_pairs)
-            found = new if found is None else found.union(new)
+            found = new if found is None else stored(found.union(new), n_pairs)
             n_found = 2 * found.count()
     return stored(components(found), n_found) if found is not None and n_found else None
 

@@ -114,10 +114,11 @@ def test_no_pair_is_missed_by_the_signatures():
         assert jaccard.differing_bits(bits[a], bits[b]) <= apart <= jaccard.allowance(len(sets[a]), len(sets[b]))
 
 
-@pytest.mark.parametrize("block", [4096, 4])
+@pytest.mark.parametrize("block", [16_384, 4])
 def test_rest_of_a_group_is_compared_by_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard.links, "__defaults__", (jaccard.PERCENT, 0))
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL", 3)
     rows = random_rows(5, 150)
     assert joined(spark, rows) == by_force(rows)[0]
 
