@@ -37,7 +37,7 @@ SKETCH_BITS = 20
 CHUNKS = 64
 BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
 GROUP_ENTRIES = 1 << 19  # index entries grouped by one task call, about
-COMPARED_ROWS = 20_000  # group members compared by one task call, about
+COMPARED_ROWS = 8_000  # group members compared by one task call, about
 SMALL = 64  # members of a group whose pairs are listed together with those of others
 BLOCK = 16_384  # members of a group compared by one task; of larger groups, any two blocks meet in some task
 STAR_ROUNDS = 3
@@ -368,8 +368,8 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> D
     groups = stored(groups.join(checked_broadcast(apart), "grp"))
     n_rows = groups.count()
     groups = _split(groups, n_rows)
-    bucket = F.pmod(F.xxhash64("grp"), F.lit(1 + n_rows // COMPARED_ROWS))
-    rows = groups.withColumn("bucket", bucket)
+    n_buckets = 1 + n_rows // COMPARED_ROWS
+    rows = groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(n_buckets)))
     needed = rows.select(F.col("bucket").alias("task"), F.col("node").alias("key")).distinct()
     needed = needed.join(light.select(F.col("node").alias("key"), "n", "bits"), "key")
 
@@ -386,30 +386,28 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> D
         bits = [np.frombuffer(x, U) for x in facts["bits"]]
         longest = np.array([len(x) for x in bits])
         short = np.array([folded(x, BITMAP_BITS // 64) for x in bits])
-        codes, held = [], 0
+        codes = []
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
-            nonlocal codes, held
             x, y = np.minimum(x, y), np.maximum(x, y)
             fits = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            codes.append(np.unique(x[fits] * len(nodes) + y[fits]))
-            held += len(codes[-1])
-            if held > 1 << 20:
-                codes = [np.unique(np.concatenate(codes))]
-                held = len(codes[0]) // 2  # what is left is without repetitions
+            x, y = x[fits], y[fits]
+            apart = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+            codes.append(np.unique(x[near] * len(nodes) + y[near]))
 
         for start, k in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             mine = at[start:start + k]
             ids, of, counts = np.unique(comp[mine], return_inverse=True, return_counts=True)
             rest = mine[of != np.argmax(counts)]  # pairs inside the largest component need no comparison
-            step = max(1, 250_000 // k)
+            step = max(1, 100_000 // k)
             for i in range(0, len(rest), step):
                 part = rest[i:i + step]
                 keep(np.repeat(part, k), np.tile(mine, len(part)))
         for k in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
             which = starts[sizes == k]
             left, right = np.triu_indices(k, 1)
-            step = max(1, 250_000 // len(left))
+            step = max(1, 100_000 // len(left))
             for i in range(0, len(which), step):
                 table = at[which[i:i + step, None] + np.arange(k)]
                 keep(table[:, left].ravel(), table[:, right].ravel())
@@ -418,9 +416,7 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> D
         for i in range(0, len(every), 100_000):
             x, y = np.divmod(every[i:i + 100_000], len(nodes))
             allowed = (100 - percent) * (n[x] + n[y])
-            short_apart = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
-            near = (100 + percent) * short_apart <= allowed
-            x, y, allowed, d = x[near], y[near], allowed[near], short_apart[near]
+            d = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
             for j in np.flatnonzero(np.minimum(longest[x], longest[y]) > short.shape[1]):
                 d[j] = differing(bits[x[j]], bits[y[j]])
             near = (100 + percent) * d <= allowed
@@ -438,6 +434,8 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> D
         kept = order[nth < most]
         return pd.DataFrame({"a": nodes[x[kept]], "b": nodes[y[kept]], "more": np.full(len(kept), bool((nth >= most).any()))})
 
+    # partitions of a fixed number: small tables of costly rows are not put together again
+    rows, needed = rows.repartition(n_buckets, "bucket"), needed.repartition(n_buckets, "task")
     return rows.groupBy("bucket").cogroup(needed.groupBy("task")).applyInPandas(compare, "a long, b long, more boolean")
 
 
