@@ -37,7 +37,7 @@ SKETCH_BITS = 20
 CHUNKS = 64
 BITMAP_BITS = 1024  # of the parity bitmap of a small set; those of larger sets have at least a bit a shingle
 GROUP_ENTRIES = 1 << 19  # index entries grouped by one task call, about
-COMPARED_ROWS = 8_000  # group members compared by one task call, about
+COMPARED_ROWS = 32_000  # group members compared by one task call, about
 SMALL = 64  # members of a group whose pairs are listed together with those of others
 BLOCK = 16_384  # members of a group compared by one task; of larger groups, any two blocks meet in some task
 STAR_ROUNDS = 3
