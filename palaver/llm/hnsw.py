@@ -1,15 +1,19 @@
 """Near duplicates among embeddings: hierarchical navigable small-world graphs per shard.
 
 Equal vectors are one node with a weight. Nodes are dealt into shards by hash; each shard's graph is built by one task
-and stored. Every block of nodes queries every shard. A task widens its beam until an audit passes: for a sample of its
-queries the links found must be at least RECALL of those that a comparison with the whole shard finds. A query follows
-all neighbours above the similarity, so that a dense cluster is not cut off by the beam. Similarities are verified in
-double precision. A task hands on link counts and a spanning forest of the links it found, never all pairs.
+and stored. An audit finds the beam of each shard: queries are drawn from all nodes until AUDIT_LINKS true links of the
+shard are among them, or no query is left, and the links found must be at least RECALL of those that a comparison with
+the whole shard finds. A shard for which no beam passes is compared as a whole. Then every block of nodes queries every
+shard. A query follows all neighbours above the similarity, so that a dense cluster is not cut off by the beam.
+Similarities are verified in double precision. A task hands on its links as compressed bits; what two shards found in
+each other is put together, so that a link found from one end counts for both, and goes on as link counts and a spanning
+forest, never as rows of pairs.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,9 @@ SHARD_NODES = 8192
 BLOCK_NODES = 2048
 DEGREE = 12  # links of a node in upper layers; twice as many in the lowest
 BEAM = 32
-AUDIT = 64  # audited queries of a task
+AUDIT_QUERIES = 2048  # queries of the first round of the audit; eight times as many in each further one
+AUDIT_LINKS = 500  # true links of a shard that end its audit
+EXACT = 0  # in place of a beam: the shard is compared as a whole
 RECALL = 0.98
 
 
@@ -208,29 +214,72 @@ def forest(pairs: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     return out
 
 
-def links_between(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, g: Graph, exact: np.ndarray, similarity: float, recall: float = RECALL,
-                  beam: int = BEAM) -> tuple[list[np.ndarray], int, float]:
-    """For each query the verified positions of its links in the shard (itself left out), the beam that passed, its recall."""
-    slack = similarity - 1e-4  # the walk is in single precision
-    single = q.astype(np.float32)
-    picks = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = [np.flatnonzero((exact @ q[p] >= similarity) & (ids != q_ids[p])) for p in picks]
+def beams(nodes: int) -> list[int]:
+    """Beams worth trying: a wider one would compare a query with as many nodes as the whole shard has."""
+    out = [BEAM]
+    while out[-1] * 2 * 2 * DEGREE < nodes:
+        out.append(out[-1] * 2)
+    return out
 
-    def search(rows):
-        found = range_search(g, single[rows], beam, slack)
-        return [f[(exact[f] @ q[p] >= similarity) & (ids[f] != q_ids[p])] for p, f in zip(rows, found)]
 
-    total = sum(map(len, truth))
-    while True:
-        got = sum(len(np.intersect1d(a, b)) for a, b in zip(search(picks), truth))
-        rate = got / total if total else 1.0
-        if rate >= recall or beam >= len(ids):
-            break
-        beam *= 2
+def links_between(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, g: Graph, exact: np.ndarray, similarity: float, beam: int) -> list[np.ndarray]:
+    """For each query the verified positions of its links in the shard, itself left out."""
     out = []
     for start in range(0, len(q), 256):
-        out += search(np.arange(start, min(start + 256, len(q))))
-    return out, beam, rate
+        some, names = q[start:start + 256], q_ids[start:start + 256]
+        if beam == EXACT:
+            found = [np.flatnonzero(x) for x in some @ exact.T >= similarity]
+        else:  # the walk is in single precision
+            found = range_search(g, some.astype(np.float32), beam, similarity - 1e-4)
+            found = [f[exact[f] @ v >= similarity] for v, f in zip(some, found)]
+        out += [f[ids[f] != i] for i, f in zip(names, found)]
+    return out
+
+
+def audit(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, g: Graph, exact: np.ndarray, similarity: float, recall: float) -> list[tuple[int, int, int]]:
+    """(beam, links found, true links) of the queries for each beam; those wider than one that passes count what it found."""
+    truth = links_between(q_ids, q, ids, g, exact, similarity, EXACT)
+    asked = np.flatnonzero([len(t) > 0 for t in truth])
+    total, got, out = sum(map(len, truth)), 0, []
+    for beam in beams(len(ids)):
+        if got < recall * total:
+            found = links_between(q_ids[asked], q[asked], ids, g, exact, similarity, beam)
+            got = sum(len(np.intersect1d(f, truth[k])) for k, f in zip(asked, found))
+        out.append((beam, got, total))
+    return out
+
+
+def both_ends(rows: list[tuple[int, int, np.ndarray, np.ndarray, bytes]]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Weighted links by key, and forest edges, of what two shards found in each other or one in itself.
+
+    rows: shard of the queries, block, keys and weights of the queries, bits of the links; all blocks of both shards.
+    """
+    sides = []
+    for own in sorted({r[0] for r in rows}):
+        blocks = sorted((r for r in rows if r[0] == own), key=lambda r: r[1])
+        sides.append((np.concatenate([r[2] for r in blocks]), np.concatenate([r[3] for r in blocks]), [r[4] for r in blocks], [len(r[2]) for r in blocks]))
+    (keys, weights, *_), (keys2, weights2, *_) = sides[0], sides[-1]
+
+    def matrix(side: int, width: int) -> np.ndarray:
+        _, _, bits, sizes = sides[side]
+        packed = [np.frombuffer(zlib.decompress(b), np.uint8).reshape(n, -1) for b, n in zip(bits, sizes)]
+        return np.concatenate([np.unpackbits(x, axis=1, count=width) for x in packed])
+
+    links = matrix(0, len(keys2))
+    links |= (links.T.copy() if len(sides) == 1 else matrix(1, len(keys)).T)
+    count, count2, pairs = np.zeros(len(keys)), np.zeros(len(keys2)), []
+    for start in range(0, len(keys), 256):
+        r, c = np.nonzero(links[start:start + 256])
+        count[start:start + 256] = np.bincount(r, weights2[c], min(256, len(keys) - start))
+        count2 += np.bincount(c, weights[start + r], len(keys2))
+        if len(sides) == 1:  # either end of a link has it
+            r, c = r[c > start + r], c[c > start + r]
+        at, first = np.unique(r, return_index=True)
+        pairs += [(int(keys[start + k]), keys2[f]) for k, f in zip(at, np.split(c, first[1:]))]
+    out = dict(zip(keys.tolist(), count.astype(np.int64).tolist()))
+    if len(sides) == 2:
+        out |= dict(zip(keys2.tolist(), count2.astype(np.int64).tolist()))
+    return {k: n for k, n in out.items() if n}, forest(pairs)
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -281,10 +330,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def _links(nodes: DataFrame, dim: int, n: int, similarity: float, shard_nodes: int, block_nodes: int, recall: float) -> DataFrame:
-    """(a, b, links): a row (a, null, weight of its links in one shard) per node and shard, and forest edges (a, b, null)."""
-    shards, blocks = math.ceil(n / shard_nodes), math.ceil(n / block_nodes)
+    """(a, b, links): a row (a, null, weight of its links in one shard) per node and shard with links, and forest edges (a, b, null)."""
+    shards = math.ceil(n / shard_nodes)
     shard = F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards))
-    block = F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks))
 
     def level(keys: np.ndarray) -> np.ndarray:
         u = ((keys.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
@@ -302,28 +350,70 @@ def _links(nodes: DataFrame, dim: int, n: int, similarity: float, shard_nodes: i
     graphs = nodes.select(shard.alias("shard"), "key", "weight", "vector").groupBy("shard").applyInPandas(
         graph, "shard long, keys binary, weights binary, vectors binary, levels binary, links array<binary>")
 
+    def slices(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                keys, weights, exact = np.frombuffer(row.keys, np.int64), np.frombuffer(row.weights, np.int64), np.frombuffer(row.vectors).reshape(-1, dim)
+                for k, at in enumerate(np.array_split(np.arange(len(keys)), math.ceil(len(keys) / block_nodes))):
+                    yield pd.DataFrame({"own": [row.shard], "block": [k], "q_keys": [keys[at].tobytes()], "q_weights": [weights[at].tobytes()], "queries": [exact[at].tobytes()]})
+
+    graphs = stored(graphs)
+    queries = stored(graphs.mapInPandas(slices, "own long, block long, q_keys binary, q_weights binary, queries binary"))
+
+    def read(row) -> tuple:
+        ids, exact = np.frombuffer(row.keys, np.int64), np.frombuffer(row.vectors).reshape(-1, dim)
+        g = Graph(exact.astype(np.float32), np.frombuffer(row.levels, np.int32))
+        g.links = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row.links]
+        return np.frombuffer(row.q_keys, np.int64), np.frombuffer(row.queries).reshape(-1, dim), ids, g, exact
+
+    # the beam of each shard
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", ignore_index=True)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "q_keys": [pdf["key"].to_numpy(np.int64).tobytes()], "queries": [unit(_matrix(pdf["vector"], dim)).tobytes()]})
 
-    queries = nodes.select(block.alias("block"), "key", "vector").groupBy("block").applyInPandas(pack, "block long, q_keys binary, queries binary")
-    graphs, queries = stored(graphs), stored(queries)
+    def audited(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                found = audit(*read(row), similarity, recall)
+                yield pd.DataFrame(found, columns=["beam", "found", "total"]).assign(shard=row.shard)
+
+    place = F.pmod(F.xxhash64("key", F.lit("audit")), F.lit(1 << 30))
+    left, seen, done, size = set(range(shards)), {}, 0, AUDIT_QUERIES
+    while left and done < 1 << 30:
+        end = min(1 << 30, math.ceil((1 << 30) * size / n))
+        parts = math.ceil(n * (end - done) / (1 << 30) / block_nodes)
+        sample = nodes.filter((place >= done) & (place < end)).select(F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).alias("block"), "key", "vector")
+        sample = sample.groupBy("block").applyInPandas(pack, "block long, q_keys binary, queries binary")
+        asked = sample.withColumn("shard", F.explode(F.array(*[F.lit(x).cast("long") for x in sorted(left)])))
+        asked = asked.join(graphs, "shard").repartition(F.col("shard"), F.col("block"))
+        rows = asked.mapInPandas(audited, "beam long, found long, total long, shard long").groupBy("shard", "beam").agg(F.sum("found").alias("found"), F.sum("total").alias("total"))
+        for r in rows.collect():  # a few rows a shard
+            old = seen.setdefault(r["shard"], {}).get(r["beam"], (0, 0))
+            seen[r["shard"]][r["beam"]] = old[0] + r["found"], old[1] + r["total"]
+        left = {x for x in left if all(total < AUDIT_LINKS for _, total in seen.get(x, {}).values())}
+        done, size = end, 8 * size
+    fit = {x: min((b for b, (found, total) in at.items() if found >= recall * total), default=EXACT) for x, at in seen.items()}
+    widths = nodes.sparkSession.createDataFrame([(x, fit.get(x, EXACT)) for x in range(shards)], "shard long, beam long")
+
     # each block of queries is sent to each shard
     sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    tasks = sent.join(graphs, "shard").repartition(F.col("shard"), F.col("block"))
+    tasks = sent.join(graphs.join(F.broadcast(widths), "shard"), "shard").repartition(F.col("shard"), F.col("own"), F.col("block"))
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q_ids, ids = np.frombuffer(row.q_keys, np.int64), np.frombuffer(row.keys, np.int64)
-                q, exact = np.frombuffer(row.queries).reshape(-1, dim), np.frombuffer(row.vectors).reshape(-1, dim)
-                weights = np.frombuffer(row.weights, np.int64)
-                g = Graph(exact.astype(np.float32), np.frombuffer(row.levels, np.int32))
-                g.links = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row.links]
-                found, _, _ = links_between(q_ids, q, ids, g, exact, similarity, recall)
-                linked = [(int(a), f) for a, f in zip(q_ids, found) if len(f)]
-                counts = pd.DataFrame({"a": [a for a, _ in linked], "b": None, "links": [int(weights[f].sum()) for _, f in linked]})
-                edges = pd.DataFrame(forest([(a, ids[f]) for a, f in linked]), columns=["a", "b"]).assign(links=None)
-                yield pd.concat([counts.astype("object"), edges.astype("object")]) if linked else counts.iloc[:0]
-
-    return tasks.mapInPandas(run, "a long, b long, links long")
+                q_ids, q, ids, g, exact = read(row)
+                bits = np.zeros((len(q), len(ids)), bool)
+                for k, f in enumerate(links_between(q_ids, q, ids, g, exact, similarity, row.beam)):
+                    bits[k, f] = True
+                bits = zlib.compress(np.packbits(bits, axis=1).tobytes(), 1)
+                yield pd.DataFrame({"low": [min(row.own, row.shard)], "high": [max(row.own, row.shard)], "own": [row.own], "block": [row.block],
+                                    "q_keys": [row.q_keys], "q_weights": [row.q_weights], "bits": [bits]})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts, edges = both_ends([(r.own, r.block, np.frombuffer(r.q_keys, np.int64), np.frombuffer(r.q_weights, np.int64), r.bits) for r in pdf.itertuples(index=False)])
+        counts = pd.DataFrame({"a": list(counts), "b": None, "links": list(counts.values())}, dtype="object")
+        return pd.concat([counts, pd.DataFrame(edges, columns=["a", "b"], dtype="object").assign(links=None)])
+
+    found = tasks.mapInPandas(run, "low long, high long, own long, block long, q_keys binary, q_weights binary, bits binary")
+    return found.groupBy("low", "high").applyInPandas(together, "a long, b long, links long")

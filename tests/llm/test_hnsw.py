@@ -83,3 +83,36 @@ def test_graph_alone_finds_neighbours():
     idx, _ = g.search(q, 0, g.descend(q, 0, 0, len(v)), 48, len(v))
     true = np.argsort(-(q @ g.v.T), axis=1)[:, :10]
     assert np.mean([len(np.intersect1d(a, b)) / 10 for a, b in zip(idx, true)]) > 0.9 and g.top > 0
+
+
+def lonely(n=2000, pairs=60, dim=16):
+    """A dense crowd and pairs far from it, whose nodes the crowd's lists leave out."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=dim) + rng.normal(size=(n, dim)) * 0.5
+    v[:2 * pairs] = rng.normal(size=(2 * pairs, dim))
+    v[:pairs] = v[pairs:2 * pairs] + rng.normal(size=(pairs, dim)) * 0.2
+    return [(k, [float(np.float32(x)) for x in row]) for k, row in enumerate(v[rng.permutation(n)])]
+
+
+@pytest.mark.parametrize("shard_nodes", [8192, 700])
+def test_links_count_for_both_ends(spark, shard_nodes):
+    rows = lonely()
+    v = hnsw.unit(np.array([x for _, x in rows]))
+    near = v @ v.T >= hnsw.SIMILARITY
+    got = joined(spark, rows, shard_nodes=shard_nodes, block_nodes=300)
+    total = sum(r[1] for r in got)
+    assert 0.98 * (near.sum() - len(v)) <= total <= near.sum() - len(v)
+    assert total % 2 == 0  # distinct vectors: each link twice
+
+
+def test_unreachable_nodes_are_compared():
+    v = hnsw.unit(np.array([x for _, x in lonely(1500)]))
+    ids = np.arange(1500)
+    g = hnsw.build(v.astype(np.float32), np.zeros(1500, int))
+    for layer in g.links:
+        layer[:] = -1
+    v = v[g.order]
+    found = hnsw.audit(ids, v, ids, g, v, 0.9, 0.98)
+    assert [f[0] for f in found] == hnsw.beams(1500) and all(f[1] < 0.98 * f[2] for f in found)
+    links = hnsw.links_between(ids, v, ids, g, v, 0.9, hnsw.EXACT)
+    assert sum(map(len, links)) == np.count_nonzero(v @ v.T >= 0.9) - 1500
