@@ -2,8 +2,10 @@
 
 Names in hosts are written together. A unigram model of the words in all pages splits each distinct host label by the
 cheapest path (Viterbi). The words a label may be made of are found by joining its substrings with the word counts, so
-neither the counts nor the labels have to fit in one task. Multinomial naive Bayes is trained on all pages, those
-whose host holds a seed word being the class to block, and its weights are joined to distinct hosts and paths.
+neither the counts nor the labels have to fit in one task. Multinomial naive Bayes is trained on all pages. Hosts that
+hold a seed word in any inflected form are the class to block; the others are unlabelled: they start as good, and
+those whose words speak for blocking change sides before the next round of training. Its weights are joined to distinct
+hosts and paths.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LONGEST = 24  # letters of a word of the unigram model
 UNIT = 1_000_000  # weights are whole millionths, so that sums do not depend on their order
 BLOCK_ODDS = 0.0  # log odds above which a page is blocked
+ROUNDS = 5  # of training, at most; ends when no host changes sides
 LETTERS = r"[^\p{L}]+"
 
 
@@ -106,6 +109,16 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     return labels.join(known, "label", "left").select("label", cut("label", "known").alias("words"))
 
 
+def stem(word: Column) -> Column:
+    """The word without plural endings, -ing, -ed (and the letter doubled before them) and, of longer words, a last e."""
+    out = F.regexp_replace(word, r"(?<=\p{L}{2})ies$", "y")
+    out = F.regexp_replace(out, r"(?<=ss|sh|ch|x|z|o)es$", "")
+    out = F.regexp_replace(out, r"(?<=\p{L}[^sui])s$", "")
+    out = F.regexp_replace(out, r"^(\p{L}*[aeiouy]\p{L}*?)([^aeiouylsz])\2(?:ing|ed)$", "$1$2")
+    out = F.regexp_replace(out, r"^(\p{L}*[aeiouy]\p{L}*)(?:ing|ed)$", "$1")
+    return F.regexp_replace(out, r"(?<=\p{L}{4})e$", "")
+
+
 def path_words(path: Column) -> Column:
     """Words of a path; a run of digits is one word whatever its value."""
     marked = F.regexp_replace(F.lower(path), r"[0-9]+", " # ")
@@ -118,7 +131,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     A url without :// (null or empty too) has an empty host and path, no words and the odds of the classes alone. The
     longest fitting rule decides; without one the page is blocked if the log odds (in millionths) exceed
-    BLOCK_ODDS. Ties go to allow. Without pages to learn either class from all odds are null and pages are allowed.
+    BLOCK_ODDS. Ties go to allow. Where no host, or every host, holds a seed word all odds are null and pages that no
+    rule decides are allowed.
     Repeated rows are judged alike; other columns are not read. No rows give no rows.
     """
     base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -131,29 +145,39 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     spelled = named.select("host").join(spelled, "host", "left")
     host_words = F.coalesce(F.flatten(F.transform("w", lambda x: x["words"])), F.array().cast("array<string>"))
     hosts = stored(hosts.join(spelled.select("host", host_words.alias("words")), "host"))
-    hosts = stored(hosts.withColumn("y", F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])).cast("int")))
+    seeded = F.arrays_overlap(F.transform("words", stem), F.array(*[stem(F.lit(s)) for s in seeds]))
+    hosts = stored(hosts.withColumn("seeded", seeded.cast("int")).withColumn("y", F.col("seeded")))
 
     sizes = {r["y"]: r["n"] for r in hosts.groupBy("y").agg(F.sum("pages").alias("n")).collect()}
     if len(sizes) < 2:
         rule = rule_for(F.col("host"), F.col("path"), rules)
         out = base.withColumn("rule", rule)
         return out.select("id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("odds"))
-    # words of both kinds, apart by a prefix, counted over all pages
-    from_hosts = hosts.select("y", F.col("pages").alias("n"), F.explode("words").alias("word")).select("y", "n", F.concat(F.lit("h:"), "word").alias("word"))
-    paths = base.groupBy("host", "path").agg(F.count("*").alias("n")).join(checked_broadcast(hosts.select("host", "y")), "host")
-    from_paths = paths.select("y", "n", F.explode(path_words(F.col("path"))).alias("word")).select("y", "n", F.concat(F.lit("p:"), "word").alias("word"))
     n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    counts = stored(from_hosts.union(from_paths).groupBy("word").agg(n(1).alias("bad"), n(0).alias("good")))
-    total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).first()
-    weight = F.log((F.col("bad") + 1) / (total["bad"] + total["words"])) - F.log((F.col("good") + 1) / (total["good"] + total["words"]))
-    weights = checked_broadcast(stored(counts.select("word", F.round(weight * UNIT).cast("long").alias("weight"))))
-    prior = round(UNIT * math.log(sizes[1] / sizes[0]))
+    paths = stored(base.groupBy("host", "path").agg(F.count("*").alias("n")))
 
     def scored(rows: DataFrame, key: str, prefix: str, words: Column) -> DataFrame:
         each = rows.select(key, F.explode(words).alias("w")).select(key, F.concat(F.lit(prefix), "w").alias("word"))
         return checked_broadcast(stored(each.join(weights, "word").groupBy(key).agg(F.sum("weight").alias(f"{key}_score"))))
 
-    by_host = scored(hosts, "host", "h:", F.col("words"))
+    for step in range(ROUNDS):
+        # words of both kinds, apart by a prefix, counted over all pages
+        from_hosts = hosts.select("y", F.col("pages").alias("n"), F.explode("words").alias("word")).select("y", "n", F.concat(F.lit("h:"), "word").alias("word"))
+        sided = paths.join(checked_broadcast(hosts.select("host", "y")), "host")
+        from_paths = sided.select("y", "n", F.explode(path_words(F.col("path"))).alias("word")).select("y", "n", F.concat(F.lit("p:"), "word").alias("word"))
+        counts = stored(from_hosts.union(from_paths).groupBy("word").agg(n(1).alias("bad"), n(0).alias("good")))
+        total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).first()
+        weight = F.log((F.col("bad") + 1) / (total["bad"] + total["words"])) - F.log((F.col("good") + 1) / (total["good"] + total["words"]))
+        weights = checked_broadcast(stored(counts.select("word", F.round(weight * UNIT).cast("long").alias("weight"))))
+        prior = round(UNIT * math.log(sizes[1] / sizes[0]))
+        by_host = scored(hosts, "host", "h:", F.col("words"))
+        speaks = (F.coalesce("host_score", F.lit(0)) + prior > BLOCK_ODDS * UNIT).cast("int")
+        moved = stored(hosts.join(by_host, "host", "left").withColumn("to", F.greatest("seeded", speaks)))
+        after = {r["to"]: r["n"] for r in moved.groupBy("to").agg(F.sum("pages").alias("n")).collect()}
+        if step == ROUNDS - 1 or len(after) < 2 or moved.filter("y <> to").isEmpty():
+            break
+        sizes, hosts = after, moved.select("host", "pages", "words", "seeded", F.col("to").alias("y"))
+
     by_path = scored(base.select("path").distinct(), "path", "p:", path_words(F.col("path")))
     out = base.join(by_host, "host", "left").join(by_path, "path", "left")
     odds = F.coalesce("host_score", F.lit(0)) + F.coalesce("path_score", F.lit(0)) + prior

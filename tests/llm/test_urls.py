@@ -104,3 +104,19 @@ def test_edges(spark):
     one = spark.createDataFrame([(None, "h://" + "a" * 3000 + ".b/" + "c" * 100_000, None), (None, None, None), (None, None, None)], "page_id long, url string, html string")
     assert [r["verdict"] for r in urls.judge(one).collect()] == ["allow"] * 3
     assert urls.judge(df.withColumn("x", F.lit(1))).columns == ["id", "host", "path", "rule", "verdict", "odds"]
+
+
+def test_inflected_seeds(spark):
+    words = ["bets", "betting", "casinos", "loans", "pill", "lotteries", "gamble", "cracked", "sexes", "better", "alphabet", "bed", "stone", "garden", "cashmere"]
+    df = spark.createDataFrame([(w,) for w in words + urls.SEEDS], "w string").select("w", urls.stem(F.col("w")).alias("s"))
+    stems = dict(df.collect())
+    seeds = {stems[s] for s in urls.SEEDS}
+    assert [w for w in words if stems[w] in seeds] == words[:9]
+
+
+def test_hosts_without_seed_words(spark):
+    """An inflected seed blocks, and so does a host that only shares words with such hosts."""
+    hosts = ["free-bets", "free-bets-bonus", "free-bonus", "garden-river", "river-stone", "stone-letter", "letter-garden"]
+    rows = [(i, f"http://{hosts[i % 7]}.example.com/en/{i}", "<p>free bets bonus garden river stone letter</p>") for i in range(350)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["host"].split(".")[0] for r in got if r["verdict"] == "block"} == set(hosts[:3]) and len(got) == 350
