@@ -1,7 +1,7 @@
 """Toxicity scores behind a noisy-channel deobfuscation.
 
-A token that was disguised (digits and signs for letters, letters set apart, letters repeated) is a lattice of the
-letters that may have been meant. The best path under a character model of the whole corpus and the costs of the
+A token that is not a plain word without double letters may be disguised (digits and signs for letters, letters set
+apart by any signs or blanks, letters repeated): it is a lattice of the letters that may have been meant. The best path under a character model of the whole corpus and the costs of the
 channel is the restored word. Tokens and their restored forms are scored by the labelled classes in which their
 character n-grams occur, and the document by its worst words.
 """
@@ -43,9 +43,8 @@ EDGES = ".,;:!?\"'()[]{}<>…*%&#~`^/\\-_=«»„“”‘’"
 TRIPLE_SIGN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 WORD = re.compile(r"[^\W\d_]+")
 SIGN = re.compile("[" + re.escape("".join(SIGNS)) + "]")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-APART = re.compile(r"(?:[^\s.\-_*][.\-_*]+){2,}[^\s.\-_*]")
-SPACED = re.compile(r"(?<!\S)[^\s.,;:](?: [^\s.,;:]){2,}(?=[.,;:!?]*(?:\s|$))")
+REPEATED = re.compile(r"([^\W\d_])\1")
+SPACED = re.compile(r"(?<!\S)[^\s.,;:](?:\s+[^\s.,;:]){2,}(?=[.,;:!?]*(?:\s|$))")
 
 
 def _fold_table() -> tuple[np.ndarray, dict[str, int]]:
@@ -150,25 +149,27 @@ def core(token: str) -> str:
 
 
 def disguised(token: str) -> bool:
-    return bool(WORD.search(token)) and bool(SIGN.search(token) or REPEATED.search(token) or APART.search(token))
+    """Not a plain word: anything that holds a letter or a sign for one, unless it is letters only and none is doubled."""
+    return bool(WORD.search(token) or SIGN.search(token)) and not (token.isalpha() and not REPEATED.search(token))
 
 
 def words_of(token: str, model: np.ndarray) -> list[str]:
-    """Words of a lower-cased token, and its restored form if it is disguised."""
+    """Words of a lower-cased token, and its restored form if it is another word."""
     if token.isalpha() and not REPEATED.search(token):
         return [token]
     found = WORD.findall(token)
-    inside = core(token)
-    if disguised(inside):
-        found.append(restore(inside, model))
+    for inside in dict.fromkeys((core(token), token.strip(EDGES))):  # signs of one kind at an edge may be decoration or letters
+        word = restore(inside, model) if disguised(inside) else ""
+        if word and word not in found:
+            found.append(word)
     return found
 
 
 def tokens_of(text: str | None) -> set[str]:
-    """Distinct tokens of the whole text; letters set apart by spaces make one token, their places kept by dots."""
+    """Distinct tokens of the whole text; letters set apart by blanks make one token, their places kept by dots."""
     text = (text or "").lower()
     out = set(text.split())
-    out.update(x.group().replace(" ", ".") for x in SPACED.finditer(text))
+    out.update(".".join(x.group().split()) for x in SPACED.finditer(text))
     return out
 
 

@@ -128,3 +128,19 @@ def test_logistic():
     x = rng.normal(size=(4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] - 1)))).astype(float)
     assert np.allclose(tx.fit_logistic(x, y), [2, -1, -1], atol=0.25)
+
+
+@pytest.mark.parametrize("shown,meant", [
+    ("iddiiot", "idiot"), ("i,d,i,o,t", "idiot"), ("i/d/i/o/t", "idiot"), ("i~d~i~o~t", "idiot"), ("1d107", "idiot"), ("i  d  i  o  t", "idiot"), ("i\td\ti\no\tt", "idiot"),
+    ("5ccuumm", "scum"), ("m/0/r/0/n", "moron")])
+def test_every_disguise_is_decoded(model, shown, meant):
+    assert meant in {w for t in tx.tokens_of(f"you are {shown}.") for w in tx.words_of(t, model)}
+
+
+def test_signs_alone_are_decoded():
+    spelled = np.full(tx.LETTERS ** 4, -9.0, np.float32)
+    codes = [0, 0, 0, *[tx.CODES[c] for c in "ass"], 0]
+    for i in range(3, len(codes)):
+        spelled[((codes[i - 3] * 27 + codes[i - 2]) * 27 + codes[i - 1]) * 27 + codes[i]] = -0.1
+    for shown in ("@$$", "455", "4$$", "a$$"):
+        assert "ass" in tx.words_of(shown, spelled)
