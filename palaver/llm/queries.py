@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hnsw, jaccard, licenses, mixing, sharding, toxicity, urls, warc
+from . import chat, decontam, hnsw, jaccard, licenses, mixing, sharding, spelling, toxicity, urls, warc
 from .common import tables
 
 QUERIES = {}
@@ -131,3 +131,31 @@ c AS (SELECT doc_id, {_sql_canonical('text')} AS canon FROM documents),
 u AS (SELECT doc_id, -1 AS part, canon AS unit FROM c
   UNION ALL SELECT doc_id, unnest(range(len(string_split(canon, chr(10))))), unnest(string_split(canon, chr(10))) FROM c)
 SELECT doc_id, part::BIGINT AS part, license FROM (SELECT doc_id, part, {_sql_one_line('unit')} AS digest FROM u) JOIN k USING (digest)"""
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(tables(spark, folder, "documents"))
+
+
+# The checksum is built from its polynomial; near words share what is left of them without one letter.
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+runs AS MATERIALIZED (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {spelling.MIN_LETTERS} GROUP BY 1, 2),
+sums AS MATERIALIZED (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT]
+      ELSE [192 + (ord(x) >> 6)::BIGINT, 128 + (ord(x) & 63)::BIGINT] END))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM runs, tab),
+heard AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM sums),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM heard WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY 1 HAVING sum(n) >= {spelling.MIN_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM less a JOIN w ON w.word = a.rest UNION SELECT w.word, a.word, a.n FROM less a JOIN w ON w.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.FORM_TIMES} * n THEN form END AS form,
+  CASE WHEN form_n >= {spelling.FORM_TIMES} * n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
