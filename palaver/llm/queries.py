@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hnsw, jaccard, licenses, mixing, sharding, spelling, toxicity, urls, warc
+from . import chat, decontam, hnsw, jaccard, licenses, mixing, quality, quantize, sharding, spelling, toxicity, urls, warc
 from .common import tables
 
 QUERIES = {}
@@ -133,6 +133,39 @@ u AS (SELECT doc_id, -1 AS part, canon AS unit FROM c
 SELECT doc_id, part::BIGINT AS part, license FROM (SELECT doc_id, part, {_sql_one_line('unit')} AS digest FROM u) JOIN k USING (digest)"""
 
 
+@register
+def op11_compress_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return quantize.compress(tables(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _sql_rounds() -> str:
+    """Assignment by a distance and an entry packed into one number, then the means, once for each round."""
+    out = []
+    for r in range(quantize.ROUNDS + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT p.k, p.vec_id, p.label, p.j, p.part,
+  min(list_sum(list_transform(list_zip(p.part, b.part), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::HUGEINT * {quantize.ENTRIES} + b.e) AS de
+  FROM p JOIN b{r} b USING (j) GROUP BY ALL)""")
+        if r < quantize.ROUNDS:
+            out.append(f"""s{r} AS (SELECT j, e, list(m ORDER BY i) AS part FROM (SELECT j, (de % {quantize.ENTRIES})::BIGINT AS e, i,
+  floor(sum(part[i]) / count(*))::BIGINT AS m FROM (SELECT j, de, part, unnest(range(1, len(part) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(s.part, b.part) AS part FROM b{r} b LEFT JOIN s{r} s USING (j, e))""")
+    return ",\n".join(out)
+
+
+ORACLES["op11_compress_vectors"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({quantize.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+o AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) - 1 AS k, len(v) // {quantize.PARTS} AS w FROM v),
+p AS MATERIALIZED (SELECT k, vec_id, label, j, v[j * w + 1:(j + 1) * w] AS part FROM o, range({quantize.PARTS}) AS parts(j)),
+b0 AS (SELECT j, k AS e, part FROM p WHERE k < {quantize.ENTRIES}),
+{_sql_rounds()},
+d AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY j, e, i)) AS codebooks_sha256
+  FROM (SELECT j, e, unnest(range(len(part))) AS i, unnest(part) AS x FROM b{quantize.ROUNDS})),
+c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', (de % {quantize.ENTRIES})::BIGINT), '' ORDER BY j) AS code,
+  sum(de // {quantize.ENTRIES})::BIGINT AS error FROM a{quantize.ROUNDS} GROUP BY k, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, d"""
+
+
 @register
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(tables(spark, folder, "documents"))
@@ -159,3 +192,8 @@ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN
 chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
 ends AS (SELECT chain.word, chain.root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
+
+
+@register
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(tables(spark, folder, "documents"), tables(spark, folder, "labels")).withColumnRenamed("id", "doc_id")
