@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import CountVectorizer, Normalizer, VectorAssembler
@@ -20,6 +17,7 @@ from ..functions import text as tx
 from ..session import write_once
 from . import evaluate as ev
 from . import frames as fr
+from . import linear as ln
 from . import ranking as rk
 
 SIDES = ["dgms_comment", "dgms_parent"]
@@ -111,22 +109,15 @@ def train_linear(matrix: DataFrame, reg: float = 1e-4, max_iter: int = 50, weigh
                      maxIter=max_iter, standardization=False).fit(matrix)
 
 
-def train_repeatedly(matrix: DataFrame, row_id: str, n_repeat: int = 30, keep: float = 0.9, at_once: int = 4, **kw):
-    """Fit on n_repeat stable random subsets; (model, scores): the first of best training accuracy, and all accuracies.
+def train_repeatedly(matrix: DataFrame, row_id: str, n_repeat: int = 30, keep: float = 0.9, **kw) -> tuple[ln.Boundaries, list[float]]:
+    """Fit on n_repeat stable random subsets, all in the same passes; (model, scores).
 
-    The matrix is written once, and a few fits run side by side.
+    The model is the first of best accuracy over all rows, the scores are all accuracies.
     """
-    matrix = write_once(matrix)
-
-    def fit(i: int):
-        u = nm.keyed_uniform(F.concat(F.col(row_id), F.lit(f"_{i}")))
-        model = train_linear(matrix.filter(u < keep), **kw)
-        hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-        return model, model.transform(matrix).agg(hit).first()[0] or 0.0
-
-    with ThreadPool(at_once) as pool:
-        fits = pool.map(inheritable_thread_target(matrix.sparkSession)(fit), range(n_repeat))
-    return max(fits, key=lambda x: x[1])[0], [s for _, s in fits]
+    rows = ln.training_table(matrix, row_id, n_repeat, keep)
+    models = ln.fit(rows, ln.n_features(matrix), repeats=list(range(n_repeat)), **kw)
+    accuracy = ln.training_accuracy(ln.counts(rows, models))
+    return models.one(int(accuracy.argmax())), accuracy.tolist()
 
 
 def hinge_loss(matrix: DataFrame, model) -> float:
@@ -147,19 +138,20 @@ def coefficient_table(spark, pipeline_model, svc) -> tuple[DataFrame, float]:
     return spark.createDataFrame(rows, COEF_SCHEMA), float(svc.intercept)
 
 
-def cross_validate(rows: DataFrame, row_id: str, k: int = 5, vocab_size: int = 5000, **kw) -> DataFrame:
-    """Recall and precision per fold; folds come from the keyed uniform of the id."""
-    fold = F.floor(nm.keyed_uniform(F.col(row_id)) * k)
-    flat = flat_inputs(rows).withColumn("_fold", fold)
-    parts = []
-    for i in range(k):
-        train = flat.filter(F.col("_fold") != i)
-        pipe = feature_pipeline(vocab_size).fit(train)
-        model = train_linear(pipe.transform(train), **kw)
-        held = model.transform(pipe.transform(flat.filter(F.col("_fold") == i)))
-        metrics = ev.binary_metrics(held, F.col("prediction") == 1, F.col("label") == 1)
-        parts.append(metrics.withColumn("fold", F.lit(i).cast("long")))
-    return reduce(DataFrame.unionByName, parts)
+def cross_validate(rows: DataFrame, row_id: str, k: int = 5, n_repeat: int = 30, keep: float = 0.9, vocab_size: int = 5000, **kw) -> DataFrame:
+    """Recall and precision of the repeated training on each held-out fold; folds come from the keyed uniform of the id.
+
+    All k * n_repeat models learn in the same passes over one matrix. In each fold the repeat of best accuracy on the other folds counts.
+    A fold without rows has counts of 0.
+    """
+    _, matrix = feature_matrix(rows, vocab_size)
+    table = ln.training_table(matrix, row_id, n_repeat, keep, k)
+    models = ln.fit(table, ln.n_features(matrix), folds=list(range(k)), repeats=list(range(n_repeat)), **kw)
+    found = ln.counts(table, models)
+    found["accuracy"] = ln.training_accuracy(found)
+    best = found.loc[found.groupby("fold")["accuracy"].idxmax(), ["fold", "tp", "fp", "fn", "tn"]]
+    frame = rows.sparkSession.createDataFrame(best.astype("int64"), "fold long, tp long, fp long, fn long, tn long")
+    return ev.rates(frame)
 
 
 # Scoring --------------------------------------------------------------------------------

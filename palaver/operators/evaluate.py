@@ -15,9 +15,13 @@ def binary_metrics(df: DataFrame, predicted: Column, actual: Column, by: list[st
         F.count_if(predicted & actual).alias("tp"), F.count_if(predicted & ~actual).alias("fp"),
         F.count_if(~predicted & actual).alias("fn"), F.count_if(~predicted & ~actual).alias("tn"),
     ]
-    out = df.groupBy(*(by or [])).agg(*counts)
+    return rates(df.groupBy(*(by or [])).agg(*counts))
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """Add precision, recall and accuracy to confusion counts."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return out.withColumns({
+    return counts.withColumns({
         "precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0),
         "recall": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0),
         "accuracy": F.when(tp + fp + fn + tn > 0, (tp + tn) / (tp + fp + fn + tn)),
