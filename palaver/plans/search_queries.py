@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import wordlists as wl
 from ..operators import labels as lb
+from ..operators import postings as ps
 from ..operators import search as se
+from ..session import scratch_path
 from . import views as v
 from .registry import query, quoted, sql_all
 from .text_queries import sql_analyze, sql_count, sql_formatting, sql_links, sql_sentences
@@ -99,6 +101,15 @@ def _(t):
                           [F.col("lang").isin("fr", "de"), tx.n_words(F.col("text")) >= 50])
 
 
+@query("srch5_indexed_search", "WITH " + sql_search("documents", "doc_id", "text", TEXT_QUERY,
+       f"lang IN ('fr', 'de') AND len({sql_all('text', tx.WORD_OR_PUNCT)}) >= 50"))
+def _(t):
+    path = scratch_path(t.spark, "search")
+    ps.write_index(t.documents, "doc_id", "text", path, {"lang": F.col("lang"), "n_words": tx.n_words(F.col("text"))})
+    found = ps.search(t.spark, path, TEXT_QUERY, [F.col("lang").isin("fr", "de"), F.col("n_words") >= 50])
+    return found.select(F.col("doc").alias("doc_id"), "score")
+
+
 @query("srch5_parent_text_search", v.with_views(*BASE, DOCS) + "," + sql_search("docs", "reddit_name", "dgms_parent_text_contents", TEXT_QUERY,
        "dgms_n_words >= 50 AND dgms_n_hyperlinks >= 1 AND dgms_n_formatting >= 1"))
 def _(t):

@@ -200,17 +200,17 @@ def _(t):
 
 
 @query("top1_top_n_threshold", """
-SELECT doc_id, n_chars, min(n_chars) OVER () AS threshold FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200)""")
+SELECT doc_id, n_chars, min(n_chars) OVER () AS threshold FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20000)""")
 def _(t):
-    top = rk.top_n(t.documents.select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 200)
+    top = rk.top_n(t.documents.select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 20_000)
     return top.withColumn("threshold", top.select(F.min("n_chars")).scalar())
 
 
 @query("top2_score_bands", """
-SELECT doc_id, rank, CASE WHEN rank > 50 THEN 1 ELSE 0 END::BIGINT AS band FROM (
-  SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 200""")
+SELECT doc_id, rank, CASE WHEN rank > 5000 THEN 1 ELSE 0 END::BIGINT AS band FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 20000""")
 def _(t):
-    out = rk.score_bands(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", [50, 200])
+    out = rk.score_bands(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", [5_000, 20_000])
     return out.select("doc_id", "rank", "band")
 
 

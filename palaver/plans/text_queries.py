@@ -51,7 +51,7 @@ def _(t):
 
 
 @query("prj4_basic_submission_data", v.with_views(T, S) + """
-SELECT created_utc, is_self, link_flair_text, name, permalink, score, title FROM submissions""")
+SELECT created_utc, is_self, link_flair_text, name, num_comments, num_crossposts, permalink, score, title FROM submissions""")
 def _(t):
     return fr.basic_submission_data(v.submissions(t))
 
