@@ -20,7 +20,9 @@ from ..functions import numeric as nm
 from ..session import write_once
 
 BLOCK_ROWS = 512  # rows multiplied at once, over the features that occur in them
+TASK_ROWS = 2048  # rows of a task, at least
 BLOCK_FEATURES = 256  # features whose slopes travel together
+DIRECT_BYTES = 64 << 20  # sums of slopes that the driver takes from the tasks at most
 SMOOTH = 0.1  # the hinge's corner is rounded over this width below 1
 MEMORY = 6  # steps that shape the next direction
 ROW_SCHEMA = "id string, idx array<int>, val array<double>, y double, weight double, fold int, picked array<boolean>"
@@ -61,7 +63,8 @@ def training_table(matrix: DataFrame, row_id: str, n_repeat: int = 0, keep: floa
         F.col(row_id).cast("string").alias("id"), idx.alias("idx"), v["values"].alias("val"), F.col("label").cast("double").alias("y"),
         F.coalesce(weight.cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(fold, F.lit(0)).alias("fold"),
         F.array(*[F.coalesce(p, F.lit(False)) for p in picks]).cast("array<boolean>").alias("picked"))
-    return write_once(rows)
+    table = write_once(rows)
+    return table.coalesce(max(1, table.count() // TASK_ROWS))  # every pass starts these tasks anew
 
 
 def n_features(matrix: DataFrame, features: str = "features") -> int:
@@ -102,7 +105,10 @@ def hinge(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def losses(rows: DataFrame, models: Boundaries, reg: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean weighted loss with its L2 penalty, and gradient, of all models: one pass."""
+    """Mean weighted loss with its L2 penalty, and gradient, of all models: one pass.
+
+    The sums of a few tasks go to the driver as they are; those of many are first added up by block of features.
+    """
     spark, width = rows.sparkSession, len(models.coefs) - 1
     sent = spark.sparkContext.broadcast(models)
 
@@ -125,14 +131,16 @@ def losses(rows: DataFrame, models: Boundaries, reg: float) -> tuple[np.ndarray,
         total = sum(np.frombuffer(b) for b in sorted(pdf["sums"]))
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.tobytes()]})
 
-    parts = rows.drop("id").mapInPandas(slopes, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
+    parts = rows.drop("id").mapInPandas(slopes, "block int, sums binary")
+    if rows.rdd.getNumPartitions() * models.coefs.nbytes > DIRECT_BYTES:
+        parts = parts.groupBy("block").applyInPandas(add, "block int, sums binary")
     grad, sums = np.zeros_like(models.coefs), np.zeros((2, models.n))
     for r in parts.collect():
         values = np.frombuffer(r["sums"]).reshape(-1, models.n)
         if r["block"] < 0:
-            sums = values
+            sums += values
         else:
-            grad[r["block"]:r["block"] + BLOCK_FEATURES] = values
+            grad[r["block"]:r["block"] + BLOCK_FEATURES] += values
     sent.unpersist()
     total = np.maximum(sums[1], 1e-300)
     free = models.coefs * np.append(np.ones(width), 0)[:, None]  # the intercept is not penalised
@@ -152,7 +160,7 @@ def direction(grad: np.ndarray, steps: deque, scale: np.ndarray) -> np.ndarray:
     return -q
 
 
-def fit(rows: DataFrame, width: int, folds: list[int] = (-1,), repeats: list[int] = (-1,), reg: float = 1e-4, passes: int = 40,
+def fit(rows: DataFrame, width: int, folds: list[int] = (-1,), repeats: list[int] = (-1,), reg: float = 1e-4, passes: int = 30,
         tolerance: float = 1e-4) -> Boundaries:
     """One model for each pair of a fold and a repeat, all of them improved by every pass over the rows.
 

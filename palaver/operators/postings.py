@@ -35,14 +35,14 @@ def write_index(docs: DataFrame, doc_id: str, field: str, path: str, keep: dict[
     a term in a third of all documents fills many blocks and files.
     """
     keep = {name: c.alias(name) for name, c in (keep or {}).items()}
-    if taken := {"term", "block", "doc", "tf"} & set(keep):
+    if taken := {"term", "block", "doc", "tf", "_bag"} & set(keep):
         raise ValueError(f"columns {sorted(taken)} are the index's own")
     known = docs.filter(F.col(field).isNotNull())
     n = known.count()
     blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block")
-    bags = known.select(F.col(doc_id).alias("doc"), block, *keep.values(), F.explode(tx.bag_of_words(tx.analyze_french(F.col(field)))).alias("b"))
-    rows = bags.select(F.col("b.term").alias("term"), "block", "doc", F.col("b.tf").alias("tf"), *keep)
+    bags = known.select(F.col(doc_id).alias("doc"), block, *keep.values(), tx.bag_of_words(tx.analyze_french(F.col(field))).alias("_bag"))
+    rows = bags.select("block", "doc", *keep, F.inline("_bag").alias("term", "tf"))
     files = max(1, n * 100 // FILE_ROWS)
     ordered = rows.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block", "doc")
     ordered.write.parquet(f"{path}/postings")

@@ -76,6 +76,16 @@ def test_models_of_a_pass_do_not_touch_each_other(matrix):
         assert np.abs(both.coefs[:, k] - b).max() < 0.08, (f, r)
 
 
+def test_sums_of_many_tasks_are_added_before(matrix, monkeypatch):
+    rows = ln.training_table(matrix, "name", n_repeat=2, keep=0.7).repartition(5)
+    some = ln.Boundaries(np.linspace(-1, 1, 2 * D + 2).reshape(D + 1, 2), np.array([-1, -1]), np.array([0, 1]))
+    loss, grad = ln.losses(rows, some, 0.1)
+    monkeypatch.setattr(ln, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(ln, "BLOCK_FEATURES", 5)
+    again, same = ln.losses(rows, some, 0.1)
+    assert np.allclose(loss, again) and np.allclose(grad, same)
+
+
 def test_counts_and_scores(matrix):
     rows = ln.training_table(matrix, "name", n_repeat=2, keep=0.8, k_folds=3)
     models = ln.fit(rows, D, folds=[-1, 0, 1, 2], repeats=[0, 1], passes=10)
