@@ -10,6 +10,7 @@ from ..operators import labels as lb
 from ..operators import postings as ps
 from ..operators import search as se
 from ..session import scratch_path
+from ..sources import keyed as kt
 from . import views as v
 from .registry import query, quoted, sql_all
 from .text_queries import sql_analyze, sql_count, sql_formatting, sql_links, sql_sentences
@@ -186,6 +187,33 @@ def _(t):
     return lb.replace_payload(fixed, F.to_json(F.struct(F.col("datapoint_id").alias("id"))))
 
 
+def label_store(t):
+    """The label table as one that is kept: a dataset's labels are in buckets of their own."""
+    return kt.create(table(t), lb.KEY, scratch_path(t.spark, "labels"), within=["dataset_id"], order=F.col("label_time"))
+
+
+@query("lbl1_store_save", v.with_views(TABLE, NEW, SAVED) + "SELECT * FROM saved")
+def _(t):
+    store = label_store(t)
+    kt.upsert(store, fresh(t), "label_time")
+    return store.rows(t.spark)
+
+
+@query("lbl5_store_clear", v.with_views(TABLE) + "SELECT * FROM tbl WHERE dataset_id <> 'toxic'")
+def _(t):
+    store = label_store(t)
+    kt.clear(store, t.spark, dataset_id="toxic")
+    return store.rows(t.spark)
+
+
+@query("lbl6_store_correct", v.with_views(TABLE, NEW) + """
+SELECT t.* EXCLUDE (label), coalesce(f.label, t.label) AS label FROM tbl t LEFT JOIN fresh f ON t.dataset_id = f.dataset_id AND t.datapoint_id = f.datapoint_id""")
+def _(t):
+    store = label_store(t)
+    kt.update(store, fresh(t), "label", "label_time")
+    return store.rows(t.spark)
+
+
 @query("lbl7_false_negatives", v.with_views(TABLE) + """
 SELECT datapoint_id, label, score FROM (SELECT datapoint_id, label, n_chars / 10000.0::DOUBLE AS score FROM tbl JOIN documents ON doc_id = datapoint_id::BIGINT WHERE dataset_id = 'quality')
 WHERE label > 0.5 AND score < 0.1""")

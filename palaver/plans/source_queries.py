@@ -9,6 +9,7 @@ from ..operators import stats as st
 from ..operators import topics as tp
 from ..session import scratch_path
 from ..sources import dumps as du
+from ..sources import keyed as kt
 from ..sources import lexicons as lx
 from ..sources import records as rc
 from . import views as v
@@ -121,6 +122,15 @@ def _(t):
     return rc.read_records(t.spark, path)
 
 
+@query("src10_keyed_upsert", v.with_views(T) + "SELECT name AS reddit_name, score + CASE WHEN score > 0 THEN 1 ELSE 0 END AS score FROM things")
+def _(t):
+    """An index that exists gets new versions of some documents and documents that it lacks."""
+    docs = v.things(t).select(F.col("name").alias("reddit_name"), "score")
+    known = kt.create(docs.filter("score > 0 OR reddit_name LIKE 't1%'"), ["reddit_name"], scratch_path(t.spark, "index"))
+    kt.upsert(known, docs.withColumn("score", F.col("score") + F.when(F.col("score") > 0, 1).otherwise(0)), "score")
+    return known.rows(t.spark)
+
+
 @query("src11_raw_content", v.with_views(T) + """
 SELECT name AS reddit_name, id, body AS doc_text FROM things""")
 def _(t):
