@@ -6,67 +6,80 @@ it returns. run() writes what a stage returns to the shared folder and reads it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import decontam, jaccard, mixing, sharding, toxicity
 from palaver.llm.common import checked_broadcast, stored, tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHARDED = ["size", "text_crc32", "shard", "slot"]
+
+
+def row_key() -> Column:
+    """A number for each pair of id and text. Ids and texts are hashed together: rows without an id, or with one that others have,
+    are told apart by their texts, and no id can be taken for the hash of a text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """What the operators read, and the whole row as one column, so that no name in it can clash with theirs."""
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents predicted to be toxic."""
-    scored = toxicity.score(docs, tables(spark, sf_dir, "labels"), keep=[c for c in docs.columns if c != "doc_id"])
-    return scored.filter("predicted = 0").select(F.col("id").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
+    scored = toxicity.score(carried(docs), tables(spark, sf_dir, "labels"), keep=["_row"])
+    return scored.filter("predicted = 0").select("_row.*")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Of repeated rows one stays.
+    """One document of each group of near duplicates: that with the smallest id, one without id if no other is there.
 
-    Documents without words are in no group and stay, as do documents without id that are in no group with one.
+    Of rows that share an id, and of repeated rows, one stays as well if they are in one group. Documents without words
+    are in no group and stay.
     """
-    groups = stored(jaccard.near_duplicates(docs))
-    gone = stored(groups.filter("id IS NOT NULL AND component_id <> id").select("id").distinct())
-    kept = docs.join(checked_broadcast(gone), docs["doc_id"] == gone["id"], "left_anti")
-    nameless = groups.filter("id IS NULL AND component_id IS NOT NULL")
-    if not nameless.isEmpty():  # rows that only their text can tell apart
-        other = jaccard.near_duplicates(docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text"))))
-        kept = kept.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-        kept = kept.join(other.filter("component_id = id").select(F.col("id").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
-    repeated = stored(groups.filter("n_shingles > 0").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    keyed = docs.select(row_key().alias("_key"), "text")
+    groups = stored(jaccard.near_duplicates(keyed, id_col="_key"))
+    member = groups.filter("n_shingles > 0").groupBy("id", "component_id").agg(F.count("*").alias("n"))
+    member = stored(member)
+    several = stored(member.filter("id <> component_id").select("component_id").distinct())
+    others = member.join(checked_broadcast(several), "component_id", "left_semi").select("id", "component_id")
+    ids = docs.select(row_key().alias("id"), "doc_id")
+    others = stored(others.join(ids, "id").groupBy("id", "component_id").agg(F.min("doc_id").alias("doc_id")))
+    first = others.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias("first"))
+    gone = stored(others.join(checked_broadcast(stored(first)), "component_id").filter("id <> first").select("id"))
+    rows = docs.select(row_key().alias("id"), F.struct("*").alias("_row"))
+    kept = rows.join(checked_broadcast(gone), "id", "left_anti")
+    repeated = stored(member.filter("n > 1").select("id"))
     n = repeated.count()
     if n:
         again = checked_broadcast(repeated, rows=n)
-        same = kept["doc_id"].eqNullSafe(again["id"])
-        several = kept.join(again, same, "left_semi")
-        one = several.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.first(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-        kept = kept.join(again, same, "left_anti").select(*docs.columns).union(one.select("doc_id", "_row.*").select(*docs.columns))
-    return kept.select(*docs.columns)
+        one = kept.join(again, "id", "left_semi").groupBy("id").agg(F.first("_row").alias("_row"))
+        kept = kept.join(again, "id", "left_anti").union(one)
+    return kept.select("_row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item; a document without id is judged by its text's hash."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    found = decontam.find(docs.withColumn("_key", key), tables(spark, sf_dir, "benchmark"), id_col="_key")
+    """Without the documents that hold a benchmark item."""
+    found = decontam.find(docs.select(row_key().alias("_key"), "text"), tables(spark, sf_dir, "benchmark"), id_col="_key")
     gone = checked_broadcast(stored(decontam.contaminated_ids(found)))
-    return docs.join(gone, key == gone["id"], "left_anti").select(*docs.columns)
+    rows = docs.select(row_key().alias("id"), F.struct("*").alias("_row"))
+    return rows.join(gone, "id", "left_anti").select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents without words count nothing and stay once."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mixing.mix(docs, keep=others)
+    mixed = mixing.mix(carried(docs), keep=["_row"])
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    rows = mixed.filter(times > 0).withColumn("_times", F.explode(F.sequence(F.lit(1), times)))
-    return rows.select(F.col("id").alias("doc_id"), "source", *others).select(*docs.columns)
+    return mixed.filter(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their size, shard and slot."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    out = sharding.shard(docs, keep=others)
-    return out.select(F.col("id").alias("doc_id"), *others, "size", "text_crc32", "shard", "slot")
+    """Documents with their size, checksum, shard and slot; columns of their own with these names are called doc_<name>."""
+    out = sharding.shard(carried(docs), keep=["_row"])
+    own = [F.col("_row")[c].alias(f"doc_{c}" if c in SHARDED else c) for c in docs.columns]
+    return out.select(*own, *SHARDED)
 
 
 STAGES = [
