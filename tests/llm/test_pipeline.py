@@ -84,6 +84,33 @@ def test_mixing(spark, folder):
     assert max(Counter(r["doc_id"] for r in out.filter("doc_id IS NOT NULL AND doc_id <> 3").collect()).values()) == 2
 
 
+def test_clashing_names(spark, folder):
+    """Columns named like those of the operators come through every stage as they are."""
+    names = ["size", "copies", "at", "target", "taken", "times", "s", "shard", "slot", "key", "sub", "score", "held_out", "predicted",
+             "id", "_key", "_row", "n", "component_id", "first", "text_crc32", "a.b"]
+    docs = docs_of(spark, folder).filter("doc_id < 60 OR doc_id IS NULL").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        own = [f"doc_{c}" if name == "sharding" and c in cp.SHARDED else c for c in docs.columns]
+        assert out.columns[:len(own)] == own and out.count() > 0
+        for r in out.toDF(*[f"c{i}" for i in range(len(out.columns))]).collect():
+            assert all(r[5 + i] == (None if r[0] is None else f"{c}{r[0]}") for i, c in enumerate(names))
+
+
+def test_rows_without_id_and_shared_ids(spark, folder):
+    """A row with neither id nor text, an id equal to the hash of nothing, and an id that several texts have."""
+    items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    words = [f"w{i}" for i in range(60)]
+    long, near = " ".join(words), " ".join([*words, "end"])
+    rows = [(None, None), (42, items[0]), (42, "another text of that id"), (None, items[1]), (7, long), (7, near), (7, "apart from the others"), (7, "apart from the others"), (9, near), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    clean = Counter((r["doc_id"], r["text"]) for r in cp.decontamination_stage(spark, docs, folder).collect())
+    assert clean == Counter(rows) - Counter([(42, items[0]), (None, items[1])])
+    out = Counter((r["doc_id"], r["text"]) for r in cp.near_duplicates_stage(spark, docs, folder).collect())
+    assert len([r for r in out.elements() if r[1] in (long, near)]) == 1 and out[7, "apart from the others"] == 1 and out[None, None] == 1
+    assert next(i for i, t in out if t in (long, near)) == 7 and sum(out.values()) == 6
+
+
 def test_run(spark, folder):
     out = cp.run(spark, folder)
     assert out.columns == [*cp.COLUMNS, "size", "text_crc32", "shard", "slot"]
