@@ -160,11 +160,16 @@ def format_turns(turns: DataFrame, parts: Column, conv_col: str = "conv_id", tur
     return rows.mapInPandas(run, PIECE)
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
+def read_back(pieces: DataFrame, in_order: bool = False) -> DataFrame:
     """(conv_key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, attachments, expanded_tokens) of each conversation.
 
-    Everything is parsed from the formatted pieces and their masks, piece after piece.
+    Everything is parsed from the formatted pieces and their masks, piece after piece. Pieces may come in any order and
+    partition, from a stored table too; they are brought together by conversation and number. in_order spares that for pieces that
+    come straight from format_turns. No pieces give no rows.
     """
+    if not in_order:
+        pieces = pieces.repartition("conv_key").sortWithinPartitions("conv_key", "seq")
+
     def run(batches):
         key, state = None, None
         for pdf in batches:

@@ -31,7 +31,7 @@ def op2_format_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = tables(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     turns = turns.union(extra)
-    digests = chat.read_back(chat.format_turns(turns, chat.text_parts(F.col("text"))))
+    digests = chat.read_back(chat.format_turns(turns, chat.text_parts(F.col("text"))), in_order=True)
     return digests.select(F.col("conv_key").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens")
 
 

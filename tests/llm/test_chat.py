@@ -36,6 +36,10 @@ def test_conversations(spark):
     pieces = chat.format_turns(df, chat.text_parts(df["text"]))
     got = {r["conv_key"]: tuple(r)[1:5] for r in chat.read_back(pieces).collect()}
     assert got == {None if c is None else str(c): digests(t) for c, t in rows.items()}
+    assert {r["conv_key"]: tuple(r)[1:5] for r in chat.read_back(pieces, in_order=True).collect()} == got
+    for moved in (pieces.repartition(4), pieces.orderBy("formatted")):
+        again = chat.read_back(moved).collect()
+        assert len(again) == len(got) and {r["conv_key"]: tuple(r)[1:5] for r in again} == got
     assert chat.read_back(chat.format_turns(df.limit(0), chat.text_parts(df["text"]))).collect() == []
 
 
