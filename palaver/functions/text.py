@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wordlists as wl
+from .stemming import stems
 
 # RE2-compatible patterns: Java and RE2 give the same matches for them.
 WORD = r"[\p{L}\p{N}_]+"
@@ -95,13 +96,13 @@ def sentences(c: Column) -> Column:
 
 
 def analyze_french(c: Column) -> Column:
-    """Index terms: lowercase tokens, elided articles removed, stop words removed."""
+    """Index terms: lowercase tokens, elided articles removed, stop words removed, stems of the rest."""
     def strip(t: Column) -> Column:
         marked = t.contains("'") | t.contains("’")
         return F.when(marked, F.regexp_replace(t, ELISION, "")).otherwise(t)
 
     tokens = F.transform(matches(F.lower(c), WORD_APOSTROPHE), strip)
-    return drop_stop_words(F.filter(tokens, lambda t: F.translate(t, "'’", "") != ""))
+    return stems(drop_stop_words(F.filter(tokens, lambda t: F.translate(t, "'’", "") != "")))
 
 
 def n_sentences(c: Column) -> Column:

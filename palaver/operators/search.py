@@ -114,14 +114,12 @@ def text_search(docs: DataFrame, doc_id: str, field: str, text: str, filters: li
         tf = F.transform(F.array(*[F.lit(t) for t in terms]), lambda q: F.size(F.filter(hits, lambda t: t == q)))
         return F.when(F.size(hits) > 0, F.array(tf)).otherwise(none)
 
-    # An index term is a substring of the lowercase text: a cheap test before tokenizing.
-    maybe = docs.filter(tx.contains_any(F.lower(field), terms))
     hits = F.filter(tx.analyze_french(F.col(field)), lambda t: t.isin(terms))
     wanted = F.lit(True)
     for f in filters:
         wanted = wanted & f
     # the analysis runs once: both passes below read the few numbers of the matching rows
-    counted = write_once(maybe.select(doc_id, wanted.alias("_wanted"), F.explode(tx.bind(hits, frequencies)).alias("_tf")))
+    counted = write_once(docs.select(doc_id, wanted.alias("_wanted"), F.explode(tx.bind(hits, frequencies)).alias("_tf")))
     stats = counted.agg(F.array(*[F.count_if(F.get("_tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df"))
     stats = stats.withColumn("n", docs.select(F.count(field)).scalar())
     frozen = stats.select(F.struct("n", "df")).scalar()

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions import markup as mk
 from ..functions import numeric as nm
+from ..functions import stemming as sg
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..functions import wordlists as wl
 from ..operators import frames as fr
 from ..operators import threads as th
 from . import views as v
-from .registry import query, sql_all, sql_list, sql_pattern, sql_steps
+from .registry import query, quoted, sql_all, sql_list, sql_pattern, sql_steps
 
 T, C, S, MD = v.THINGS, v.COMMENTS, v.SUBMISSIONS, v.MD_BODIES
 JOINED = "joined AS (SELECT c.*, s.link_flair_text AS flair FROM comments c LEFT JOIN submissions s ON c.link_id = s.name)"
@@ -223,7 +224,29 @@ def _(t):
 
 def sql_analyze(expr: str) -> str:
     bare = f"list_transform({sql_all(f'lower({expr})', tx.WORD_APOSTROPHE)}, lambda w: regexp_replace(w, {sql_pattern(tx.ELISION)}, ''))"
-    return f"list_filter({bare}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}_]') AND w NOT IN ({STOP}))"
+    kept = f"list_filter({bare}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}_]') AND w NOT IN ({STOP}))"
+    return sql_stems(kept)
+
+
+def sql_stems(words: str) -> str:
+    def ends(suffix: str, longer_than: int) -> str:
+        return f"length(w) > {longer_than} AND ends_with(w, {quoted(suffix)})"
+
+    def cut(letters: int, then: str = "") -> str:
+        return f"left(w, length(w) - {letters}) || {quoted(then)}"
+
+    rules = " ".join(f"WHEN {ends(s, n)} THEN {cut(len(s), r)}" for s, n, r in sg.SUFFIXES)
+    flat = f"translate(w, {quoted(sg.ACCENTED)}, {quoted(sg.PLAIN)})"
+    for step in (
+        f"CASE WHEN {ends('aux', 5)} AND NOT ends_with(w, 'eaux') THEN {cut(2, 'l')} WHEN {ends('x', 3)} OR {ends('s', 3)} THEN {cut(1)} ELSE w END",
+        f"CASE {rules} ELSE w END",
+        f"""CASE WHEN length(w) > 4 THEN array_to_string(list_filter(string_split({flat}, ''),
+          lambda c, i: i = 1 OR c <> substr({flat}, (i - 1)::BIGINT, 1) OR NOT regexp_matches(c, '\\p{{L}}')), '') ELSE w END""",
+        f"CASE WHEN {ends('ie', 4)} THEN {cut(2)} ELSE w END",
+        f"CASE WHEN {ends('er', 4)} THEN {cut(2)} WHEN {ends('r', 4)} OR {ends('e', 4)} THEN {cut(1)} ELSE w END",
+    ):
+        words = f"list_transform({words}, lambda w: {step})"
+    return words
 
 
 @query("txt5_analyze_french", f"SELECT doc_id, array_to_string({sql_analyze('text')}, ' ') AS terms FROM documents")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palaver.functions import markup as mk
 from palaver.functions import numeric as nm
 from palaver.functions import text as tx
+from palaver.functions.stemming import stems
 from palaver.operators import labels as lb
 from palaver.operators import retrieval as rt
 from palaver.operators import search as se
@@ -32,7 +33,13 @@ def value(spark, col):
     (lambda: tx.take_first_and_last(F.array(*map(F.lit, range(5))), 2, 2), [0, 1, 3, 4]),
     (lambda: tx.take_first_and_last(F.array(*map(F.lit, range(4))), 2, 2), [0, 1, 2, 3]),
     (lambda: tx.first_ngrams(F.split(F.lit("a b c"), " ")), ["a", "b", "c", "a b", "b c", "a b c"]),
-    (lambda: tx.analyze_french(F.lit("L'écologie de qu'il n’était")), ["écologie"]),
+    (lambda: tx.analyze_french(F.lit("L'écologie de qu'il n’était")), ["ecolog"]),
+    (lambda: tx.analyze_french(F.lit("Salut, comment vas-tu ?")), ["salut", "coment", "vas"]),
+    (lambda: tx.analyze_french(F.lit("Parlez-moi de la pluie, et non pas du beau temps")), ["parlez", "plu", "non", "beau", "temp"]),
+    (lambda: stems(F.split(F.lit("chevaux bureaux maux réalités personnelles personnel politique journalisme réformatrice éducateurs bouleversement "
+                                 "établissement nationalisation qualification librairie aussi naïve bref vraiment penser relations relation molle"), " ")),
+     ["cheval", "bureau", "mau", "realit", "person", "personel", "polit", "journalism", "reform", "eduqu", "boulevers", "etabli", "national", "qualific", "librai",
+      "ausi", "naïv", "bref", "vraiment", "pens", "relation", "relation", "mou"]),
     (lambda: tx.non_empty_md(F.lit("[removed]")), None),
     (lambda: tx.non_empty_md(F.lit("  \n ")), None),
     (lambda: mk.trim_markdown(F.lit("[deleted]")), None),
