@@ -10,6 +10,8 @@ from ..functions import text as tx
 from ..operators import frames as fr
 from ..operators import stats as st
 from ..operators import threads as th
+from ..session import scratch_path
+from ..sources import threadstore as ts
 from . import views as v
 from .registry import query
 from .text_queries import (
@@ -44,6 +46,26 @@ def _(t):
                      F.col("subm.link_flair_text").alias("s_flair"), F.col("subm.score").alias("s_score"))
 
 
+def thread_store(t):
+    return ts.write(v.comments(t), known(t), scratch_path(t.spark, "threads"), n_buckets=16)
+
+
+@query("join1_stored_threads", v.with_views(T, C, S, KNOWN) + """
+SELECT c.name, c.link_id, s.name IS NOT NULL AS has_subm, s.title AS s_title, s.link_flair_text AS s_flair, s.score AS s_score
+FROM comments c LEFT JOIN known s ON c.link_id = s.name""")
+def _(t):
+    df = ts.enriched(thread_store(t), "subm", ["title", "link_flair_text", "score"])
+    return df.select("name", "link_id", F.col("subm").isNotNull().alias("has_subm"), F.col("subm.title").alias("s_title"),
+                     F.col("subm.link_flair_text").alias("s_flair"), F.col("subm.score").alias("s_score"))
+
+
+@query("join5_stored_threads", v.with_views(T, C, S, KNOWN) + """
+SELECT s.name AS subm_name, c.name AS cmt_name, c.score AS cmt_score FROM known s LEFT JOIN comments c ON c.link_id = s.name""")
+def _(t):
+    out = ts.co_group(thread_store(t), ["name", "score"])
+    return out.select("subm_name", F.col("cmt.name").alias("cmt_name"), F.col("cmt.score").alias("cmt_score"))
+
+
 @query("join2_flow_parent_value", v.with_views(T) + """
 SELECT c.name, c.parent_id, c.author, c.body || CASE WHEN p.name IS NOT NULL THEN ' <- ' || p.body ELSE '' END AS contents,
   CASE WHEN p.name IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS n_contents
