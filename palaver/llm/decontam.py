@@ -89,42 +89,79 @@ def tile(item: np.ndarray, doc: np.ndarray, shortest: int) -> list[tuple[int, in
     a, b = Rolling(item, room), Rolling(doc, room)
     tiles: list[tuple[int, int, int]] = []
 
-    def matches(size: int) -> list[tuple[int, int]]:
-        at, to = free_windows(mark_i, size), free_windows(mark_d, size)
-        if not len(at) or not len(to):
-            return []
-        x, y = a.windows(size, room)[at], b.windows(size, room)[to]
-        common = np.isin(x, y)
-        if not common.any():
-            return []
-        order = np.argsort(y, kind="stable")
-        found = []
-        for i, h in zip(at[common], x[common]):
-            low, high = np.searchsorted(y, h, "left", sorter=order), np.searchsorted(y, h, "right", sorter=order)
-            found.extend((int(i), int(j)) for j in to[order[low:high]] if np.array_equal(item[i:i + size], doc[j:j + size]))
-        return found
-
     top = len(item)
     while True:
         low, high = shortest, top  # the longest match, by halving: windows of a match match too
-        best: list[tuple[int, int]] = []
-        size = 0
+        best, size = None, 0
         while low <= high:
             mid = (low + high + 1) // 2 if low < high else low
-            found = matches(mid)
-            if found:
+            found = Shared(item, doc, a, b, mark_i, mark_d, mid, room)
+            if found.any():
                 best, size, low = found, mid, mid + 1
             else:
                 high = mid - 1
-        if not size:
+        if best is None:
             return tiles
-        for i, j in best:
-            if not mark_i[i:i + size].any() and not mark_d[j:j + size].any():
-                mark_i[i:i + size] = mark_d[j:j + size] = True
-                tiles.append((i, j, size))
+        for i in best.starts():
+            if not mark_i[i:i + size].any():
+                j = best.first_free(i, mark_d)
+                if j is not None:
+                    mark_i[i:i + size] = mark_d[j:j + size] = True
+                    tiles.append((i, j, size))
         top = size
 
 
+class Shared:
+    """Free windows of one size that an item and a document share: the document's by hash, each list in order, no pairs."""
+
+    def __init__(self, item, doc, a: Rolling, b: Rolling, mark_i, mark_d, size: int, room: int):
+        self.item, self.doc, self.size = item, doc, size
+        self.at, to = free_windows(mark_i, size), free_windows(mark_d, size)
+        self.spots = np.empty(0, np.int64)
+        if not len(self.at) or not len(to):
+            return
+        x, y = a.windows(size, room)[self.at], b.windows(size, room)[to]
+        keys, self.key = np.unique(x, return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, y), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == y)
+        place = place[hit]
+        order = np.argsort(place, kind="stable")
+        self.spots = to[hit[order]]
+        self.edges = np.searchsorted(place[order], np.arange(len(keys) + 1))
+        self.next = self.edges[:-1].copy()  # spots before are taken
+
+    def starts(self) -> list[int]:
+        """Starts of the item's windows, in order."""
+        return self.at.tolist() if len(self.spots) else []
+
+    def same(self, i: int, j: int) -> bool:
+        return np.array_equal(self.item[i:i + self.size], self.doc[j:j + self.size])
+
+    def any(self) -> bool:
+        """Whether a window is really shared; the first pair of equal hashes tells, as a rule."""
+        if not len(self.spots):
+            return False
+        return any(self.same(i, j) for i, k in zip(self.at, self.key) for j in self.spots[self.edges[k]:self.edges[k + 1]])
+
+    def first_free(self, i: int, taken: np.ndarray) -> int | None:
+        """The earliest window of the document that is equal and free."""
+        k = self.key[np.searchsorted(self.at, i)]
+        n, end = self.next[k], self.edges[k + 1]
+        passed = True  # all windows before are taken, not merely different
+        while n < end:
+            j = int(self.spots[n])
+            last = np.flatnonzero(taken[j:j + self.size])
+            if len(last):
+                n += np.searchsorted(self.spots[n:end], j + last[-1] + 1)
+            elif self.same(i, j):
+                return j
+            else:
+                passed, n = False, n + 1
+            if passed:
+                self.next[k] = n
+        return None
+
+
 class Items:
     """The items of a block: word ids, and their seeds in sorted order."""
 

@@ -1,6 +1,8 @@
 """Greedy string tiling against a plain quadratic version, and planted passages."""
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -42,6 +44,27 @@ def test_tiles(seed):
     assert dc.tile(item, doc, shortest) == plain_tiles(item, doc, shortest)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_of_repeated_words(seed):
+    rng = random.Random(seed)
+    item = [rng.choice([1, 1, 1, 2]) for _ in range(rng.randrange(1, 14))]
+    doc = [rng.choice([-1, 1, 1, 1, 1, 2]) for _ in range(rng.randrange(0, 70))]
+    shortest = rng.choice([1, 2, 3])
+    assert dc.tile(item, doc, shortest) == plain_tiles(item, doc, shortest)
+
+
+def test_equal_words_need_no_pairs():
+    item, doc = np.ones(200, np.int64), np.ones(1_000_000, np.int64)
+    tracemalloc.start()
+    begun = time.process_time()
+    assert dc.tile(item, doc, 5) == [(0, 0, 200)]
+    took, most = time.process_time() - begun, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 10 and most < 250e6, (took, most)
+    mixed = np.tile([1, 2], 100_000)
+    assert sum(n for _, _, n in dc.tile(np.tile([2, 1, 1], 60), mixed, 2)) == 179  # the longest match is 1 2 1
+
+
 def by_force(docs, items, match=dc.MATCH, coverage=dc.COVERAGE):
     out = []
     for d, t in docs:
