@@ -107,13 +107,13 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     out = licenses.scan(tables(spark, folder, "documents"), licenses.known_digests(spark))
-    return out.select(F.col("id").alias("doc_id"), "part", "license")
+    return out.select(F.col("id").alias("doc_id"), "part", "n_lines", "license")
 
 
 def _sql_canonical(expr: str) -> str:
     out = f"regexp_replace(lower(coalesce({expr}, '')), '\\r\\n?', chr(10), 'g')"
     out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
-    out = f"regexp_replace({out}, '{licenses.NOT_WORD}', ' ', 'g')"
+    out = f"regexp_replace({out}, '{licenses.NOT_WORD}', '  ', 'g')"
     out = f"' ' || replace({out}, chr(10), ' ' || chr(10) || ' ') || ' '"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, ' {old} ', ' {new} ')"
@@ -121,16 +121,23 @@ def _sql_canonical(expr: str) -> str:
 
 
 def _sql_one_line(expr: str) -> str:
-    return f"sha256(trim(regexp_replace({expr}, '[ \\n]+', ' ', 'g')))"
+    return f"trim(regexp_replace({expr}, '[ \\n]+', ' ', 'g'))"
 
 
+# A run of lines is one that ends where a known text with its first word would.
 ORACLES["op10_license_scan"] = f"""
-WITH k AS (SELECT {_sql_one_line(_sql_canonical('t'))} AS digest, min(l) AS license FROM (VALUES
-  {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in licenses.KNOWN)}) AS v(l, t) GROUP BY 1),
-c AS (SELECT doc_id, {_sql_canonical('text')} AS canon FROM documents),
-u AS (SELECT doc_id, -1 AS part, canon AS unit FROM c
-  UNION ALL SELECT doc_id, unnest(range(len(string_split(canon, chr(10))))), unnest(string_split(canon, chr(10))) FROM c)
-SELECT doc_id, part::BIGINT AS part, license FROM (SELECT doc_id, part, {_sql_one_line('unit')} AS digest FROM u) JOIN k USING (digest)"""
+WITH k AS (SELECT t, min(l) AS license, split_part(t, ' ', 1) AS first, len(string_split(t, ' ')) AS n FROM
+  (SELECT l, {_sql_one_line(_sql_canonical('t'))} AS t FROM (VALUES
+  {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in licenses.KNOWN)}) AS v(l, t)) GROUP BY ALL),
+c AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_sql_canonical('text')} AS canon FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, i, {_sql_one_line('x')} AS x FROM (SELECT r, doc_id, unnest(range(len(string_split(canon, chr(10))))) AS i, unnest(string_split(canon, chr(10))) AS x FROM c)),
+o AS MATERIALIZED (SELECT *, len(string_split(x, ' ')) AS n, sum(len(string_split(x, ' '))) OVER (PARTITION BY r ORDER BY i) AS upto FROM l WHERE x <> ''),
+runs AS (SELECT a.r, a.doc_id, a.i, b.i - a.i + 1 AS n_lines, k.t, k.license FROM o a JOIN k ON split_part(a.x, ' ', 1) = k.first
+  JOIN o b ON a.r = b.r AND b.upto = a.upto - a.n + k.n AND b.i >= a.i),
+said AS (SELECT runs.r, runs.doc_id, runs.i, n_lines, license FROM runs JOIN o ON o.r = runs.r AND o.i BETWEEN runs.i AND runs.i + n_lines - 1
+  GROUP BY runs.r, runs.doc_id, runs.i, n_lines, license, t HAVING string_agg(o.x, ' ' ORDER BY o.i) = t)
+SELECT doc_id, i::BIGINT AS part, n_lines::BIGINT AS n_lines, license FROM said
+UNION ALL SELECT doc_id, -1::BIGINT, len(string_split(canon, chr(10)))::BIGINT, license FROM c JOIN k ON {_sql_one_line('canon')} = k.t"""
 
 
 @register
