@@ -24,7 +24,6 @@ from .common import small_batches, stored
 TRAIN_ROWS = 10_000  # labelled rows the classifier is fitted on, at most about
 THRESHOLD = 0.3
 GRAMS = (4, 5)
-KEEP_GRAMS = 20_000  # n-grams of the fitted model, at most
 MIN_ROWS = 4  # toxic rows that an n-gram must occur in
 MIN_EVIDENCE = 20.0  # log-likelihood ratio of an n-gram
 KNOWN_TOKENS = 400_000  # tokens whose weight a task remembers at once
@@ -224,7 +223,7 @@ def gram_evidence(rows: DataFrame, shared) -> DataFrame:
 
 
 def gram_weights(evidence: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
-    """Log odds of the n-grams that tell the toxic class apart, at most KEEP_GRAMS of them, by evidence."""
+    """Log odds of all n-grams that tell the toxic class apart; the training rows bound how many there can be."""
     pos, neg, p, n = F.col("pos"), F.col("neg"), float(n_pos), float(n_neg)
     expect = (pos + neg) / (p + n)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
@@ -232,8 +231,7 @@ def gram_weights(evidence: DataFrame, n_pos: int, n_neg: int) -> dict[str, float
     weight = F.log((pos + 0.5) / (p + 1)) - F.log((neg + 0.5) / (n + 1))
     good = evidence.filter(pos >= MIN_ROWS).withColumn("llr", llr).withColumn("weight", weight)
     good = good.filter((F.col("llr") >= MIN_EVIDENCE) & (F.col("weight") > 1.0))
-    best = good.orderBy(F.desc("llr"), "gram").limit(KEEP_GRAMS).select("gram", "weight").collect()
-    return {r["gram"]: r["weight"] for r in best}
+    return {r["gram"]: r["weight"] for r in good.select("gram", "weight").collect()}
 
 
 def features(text: str | None, known: Memory) -> tuple[float, float, float]:

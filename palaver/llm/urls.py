@@ -25,7 +25,7 @@ SEEDS = [
     "pharmacy", "pills", "poker", "porn", "replica", "sex", "spam", "torrent", "viagra", "warez", "xxx",
 ]
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-LONGEST = 24  # letters of a word of the unigram model
+LONGEST = 63  # letters of a word of the unigram model: a label of a host has no more
 UNIT = 1_000_000  # weights are whole millionths, so that sums do not depend on their order
 BLOCK_ODDS = 0.0  # log odds above which a page is blocked
 ROUNDS = 5  # of training, at most; ends when no host changes sides
@@ -140,7 +140,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     hosts = stored(base.groupBy("host").agg(F.count("*").alias("pages")))
     named = hosts.select("host", labels_of(F.col("host")).alias("labels"))
     every = named.select("host", F.posexplode("labels").alias("pos", "label"))
-    words = stored(segmented(stored(every.select("label").distinct()), word_counts(pages, html_col)))
+    counts = stored(word_counts(pages, html_col))  # read twice below
+    words = stored(segmented(stored(every.select("label").distinct()), counts))
     spelled = every.join(checked_broadcast(words), "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("w"))
     spelled = named.select("host").join(spelled, "host", "left")
     host_words = F.coalesce(F.flatten(F.transform("w", lambda x: x["words"])), F.array().cast("array<string>"))

@@ -34,6 +34,24 @@ def sharded(spark, rows, **options):
     return sharding.shard(df, **options).collect()
 
 
+@pytest.mark.parametrize("items,k", [(10_000, 3), (40, 3), (12, 4)])
+def test_same_as_differencing_by_hand(spark, items, k):
+    """The placement itself: heavy groups alone, light ones in bundles by the same hash, differenced in plain Python."""
+    rng = random.Random(items)
+    weights = {f"g{i}": rng.choice([7, rng.randrange(1, 5000), 90_000 if i % 50 == 0 else 7]) for i in range(150)}
+    df = spark.createDataFrame(list(weights.items()), "key string, weight long")
+    got = {r["key"]: r["shard"] for r in sharding.balance(df.repartition(3), k, items).collect()}
+    bundle = {r["key"]: f"bundle {r['b']}" for r in df.selectExpr("key", f"pmod(xxhash64(key), {items}) AS b").collect()}
+    alone = len(weights) <= items
+    item = {key: key if alone or w * items >= sum(weights.values()) else bundle[key] for key, w in weights.items()}
+    sums = Counter()
+    for key, w in weights.items():
+        sums[item[key]] += w
+    parts = sharding.differencing([[(sums[i], [i])] for i in sorted(sums, key=lambda i: (-sums[i], i))], k)
+    where = {i: shard for shard, (_, members) in enumerate(parts) for i in members}
+    assert got == {key: where[item[key]] for key in weights} and len(sums) == (150 if alone else len(sums)) <= max(150, 2 * items)
+
+
 @pytest.mark.parametrize("items", [10_000, 300])
 def test_shards(spark, items):
     rng = random.Random(1)
