@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import markup as mk
 from ..functions import numeric as nm
 from ..functions import text as tx
-from ..session import write_once
 from . import evaluate as ev
 from . import frames as fr
 from . import linear as ln
