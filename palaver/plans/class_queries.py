@@ -103,7 +103,7 @@ def _(t):
     rows = training_rows(t)
     tokens = rows.select(F.explode(F.concat(*[F.col(s)["zoned_tokens"] for s in cl.SIDES])).alias("w"))
     _, m = cl.feature_matrix(rows, max(1, tokens.distinct().count()))  # every token is in the vocabulary
-    blocks = [F.round(vc.norm(vector_to_array(f"{side}_{b}")), 6).alias(f"{side}_{b}_norm") for side in cl.SIDES for b in ("nw", "bow")]
+    blocks = [F.round(vc.ml_norm(F.col(f"{side}_{b}")), 6).alias(f"{side}_{b}_norm") for side in cl.SIDES for b in ("nw", "bow")]
     return m.select("name", *blocks)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions import numeric as nm
+from palaver.functions import vectors as vc
 from palaver.operators import classify as cl
 from palaver.operators import ranking as rk
 from palaver.operators import retrieval as rt
@@ -289,3 +290,11 @@ def test_scratch_folders_can_be_dropped(spark):
 
     path = session.write_once(spark.range(5)).inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and session.drop_scratch(spark) >= 1 and not os.path.exists(path) and session.drop_scratch(spark) == 0
+
+
+def test_norm_of_a_sparse_vector_reads_its_stored_values(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.sparse(2_000_000_000, {3: 3.0, 1_999_999_999: 4.0}),), (Vectors.dense([0.0, 5.0]),), (Vectors.sparse(7, {}),)]
+    df = spark.createDataFrame(rows, ["v"])
+    assert [r[0] for r in df.select(vc.ml_norm(F.col("v"))).collect()] == [5.0, 5.0, 0.0]
