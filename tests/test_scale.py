@@ -298,3 +298,31 @@ def test_norm_of_a_sparse_vector_reads_its_stored_values(spark):
     rows = [(Vectors.sparse(2_000_000_000, {3: 3.0, 1_999_999_999: 4.0}),), (Vectors.dense([0.0, 5.0]),), (Vectors.sparse(7, {}),)]
     df = spark.createDataFrame(rows, ["v"])
     assert [r[0] for r in df.select(vc.ml_norm(F.col("v"))).collect()] == [5.0, 5.0, 0.0]
+
+
+def bags_of(spark):
+    rows = [(i, [f"t{j}" for j in range(9) if (i + 1) % (j + 1) == 0 for _ in range(j % 3 + 1)] + [f"rare{i}"]) for i in range(40)] + [(40, []), (41, None)]
+    return spark.createDataFrame(rows, "doc bigint, tokens array<string>").repartition(3)
+
+
+def test_ppmi_shuffles_rows_of_rare_terms_only(spark, monkeypatch):
+    from palaver.operators import topics as tp
+
+    def values():
+        return {(r["doc"], r["term"]): round(r["ppmi"], 9) for r in tp.ppmi(bags_of(spark), "doc", "tokens").collect()}
+
+    whole = values()
+    monkeypatch.setattr(tp, "pin_small_checked", lambda df: (df, False))
+    monkeypatch.setattr(tp, "FREQUENT_TERMS", 9)
+    assert values() == whole and len(whole) > 100
+    plan = tp.ppmi(bags_of(spark), "doc", "tokens")._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan  # frequent terms leave before the join by term
+
+
+def test_ppmi_with_a_vocabulary_needs_no_shuffle_of_rows(spark):
+    from palaver.operators import topics as tp
+
+    out = tp.ppmi(bags_of(spark), "doc", "tokens", vocab_size=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert {r[0] for r in out.select("term").distinct().collect()} == {"t0", "t1", "t2", "t4", "t5"}
