@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import stats as st
 from ..operators import topics as tp
-from ..session import scratch_path
+from ..session import scratch_path, write_once
 from ..sources import dumps as du
 from ..sources import keyed as kt
 from ..sources import lexicons as lx
@@ -160,8 +160,9 @@ def _(t):
 SELECT row_number() OVER (ORDER BY n_term DESC, term) - 1 AS idx, term, n_term FROM n ORDER BY n_term DESC, term LIMIT 10000""")
 def _(t):
     path = scratch_path(t.spark, "vectorizer")
-    model, _ = tp.count_vectors(tokenized(t), "tokens", "bow")
+    docs = write_once(tokenized(t).select("doc_id", "tokens"))  # texts are analysed once for both counts
+    model, _ = tp.count_vectors(docs, "tokens", "bow")
     lx.save_vectorizer(model, path)
     vocabulary = tp.vocabulary_frame(t.spark, lx.load_vectorizer(path))
-    per_term, _ = st.term_statistics(tokenized(t), "tokens")
+    per_term, _ = st.term_statistics(docs, "tokens")
     return vocabulary.join(per_term, "term").select("idx", "term", "n_term")

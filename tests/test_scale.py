@@ -326,3 +326,10 @@ def test_ppmi_with_a_vocabulary_needs_no_shuffle_of_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
     assert {r[0] for r in out.select("term").distinct().collect()} == {"t0", "t1", "t2", "t4", "t5"}
+
+
+def test_saved_vectorizer_analyses_texts_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["src14_saved_vectorizer"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "tokens" in plan  # the terms come from the stored rows
