@@ -133,17 +133,22 @@ OCCURRENCES = f"""occ AS (SELECT {NORM} AS term, {{'d': doc_id, 'p': pos}} AS id
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {sql_all('text', tx.WORD)} AS w FROM documents)))"""
 
 
-def occurrences(t):
-    """Every word with a unique rank, in corpus order."""
+def first_occurrences(t):
+    """Every term with the unique rank, in corpus order, and the word of its first occurrence.
+
+    Words are brought to their first place before they are normalised: a few distinct ones are shuffled, not all occurrences.
+    """
     w = t.documents.select("doc_id", F.posexplode(tx.split_words(F.col("text"))).alias("pos", "word"))
-    return w.select(tx.normalize_term(F.col("word")).alias("term"),
-                    F.struct(F.col("doc_id").alias("d"), F.col("pos").cast("long").alias("p")).alias("idx"), "word").filter("term IS NOT NULL")
+    span = t.documents.select(F.min("doc_id"), F.max("doc_id")).first()
+    w = rk.first_places(w, "word", "doc_id", "pos", tuple(span)).select(
+        tx.normalize_term(F.col("word")).alias("term"), F.struct(F.col("doc_id").alias("d"), F.col("pos").alias("p")).alias("idx"), "word")
+    return rk.keep_smallest_rank(w.filter("term IS NOT NULL"), "term", "idx", ["word"])
 
 
 @query("agg13_keep_lowest_index", f"""WITH {OCCURRENCES} SELECT term, min(idx).d AS doc_id, min(idx).p AS pos, min_by(word, idx) AS word FROM occ
 WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY 1""")
 def _(t):
-    out = rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"])
+    out = first_occurrences(t)
     return out.select("term", F.col("idx.d").alias("doc_id"), F.col("idx.p").alias("pos"), "word")
 
 
@@ -236,5 +241,5 @@ def _(t):
 SELECT term, min(idx).d AS doc_id, min(idx).p AS pos, min_by(word, idx) AS word FROM occ
 WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY 1 ORDER BY 2, 3 LIMIT 50000""")
 def _(t):
-    top = rk.top_n(rk.keep_smallest_rank(occurrences(t), "term", "idx", ["word"]), [F.asc("idx")], 50000)
+    top = rk.top_n(first_occurrences(t), [F.asc("idx")], 50000)
     return top.select("term", F.col("idx.d").alias("doc_id"), F.col("idx.p").alias("pos"), "word")
