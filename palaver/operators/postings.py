@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import write_once
 from .search import query_terms
 from .sizing import pin_small
 
@@ -42,8 +43,10 @@ def write_index(docs: DataFrame, doc_id: str, field: str, path: str, keep: dict[
     blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block")
     bags = known.select(F.col(doc_id).alias("doc"), block, *keep.values(), tx.bag_of_words(tx.analyze_french(F.col(field))).alias("_bag"))
+    # dealing rows out by range reads them twice, and unfolding lists looks at them before: texts are analysed once for it
+    bags = write_once(bags)
     rows = bags.select("block", "doc", *keep, F.inline("_bag").alias("term", "tf"))
-    files = max(1, n * 100 // FILE_ROWS)
+    files = max(1, -(-(bags.select(F.sum(F.size("_bag").cast("long"))).first()[0] or 0) // FILE_ROWS))
     ordered = rows.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block", "doc")
     ordered.write.parquet(f"{path}/postings")
     spark = docs.sparkSession
