@@ -22,7 +22,7 @@ from ..session import write_once
 BLOCK_ROWS = 512  # rows multiplied at once, over the features that occur in them
 TASK_ROWS = 2048  # rows of a task, at least
 BLOCK_FEATURES = 256  # features whose slopes travel together
-DIRECT_BYTES = 64 << 20  # sums of slopes that the driver takes from the tasks at most
+DIRECT_BYTES = 16 << 20  # sums of slopes that the driver takes from the tasks at most in each of some 30 passes
 SMOOTH = 0.1  # the hinge's corner is rounded over this width below 1
 MEMORY = 6  # steps that shape the next direction
 ROW_SCHEMA = "id string, idx array<int>, val array<double>, y double, weight double, fold int, picked array<boolean>"
