@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
 from ..session import write_once
 
-BLOCK_ROWS = 512  # rows multiplied at once, over the features that occur in them
+BLOCK_ROWS = 32  # rows multiplied at once, over the features that occur in them: more rows have more features, most of them zero in a row
 TASK_ROWS = 2048  # rows of a task, at least
 BLOCK_FEATURES = 256  # features whose slopes travel together
 DIRECT_BYTES = 16 << 20  # sums of slopes that the driver takes from the tasks at most in each of some 30 passes
@@ -76,25 +78,40 @@ def n_features(matrix: DataFrame, features: str = "features") -> int:
     return len(first[0]) if first else 0
 
 
-def blocks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows, the features that occur in them (the constant one last), and the values of those."""
-    for pdf in batches:
-        for at in range(0, len(pdf), BLOCK_ROWS):
-            some = pdf.iloc[at:at + BLOCK_ROWS]
-            sizes = np.fromiter(map(len, some["idx"]), np.int64, len(some))
-            flat = np.concatenate(some["idx"].to_list()).astype(np.int64)
-            used, place = np.unique(flat, return_inverse=True)
-            x = np.zeros((len(some), len(used) + 1))
-            np.add.at(x, (np.repeat(np.arange(len(some)), sizes), place), np.concatenate(some["val"].to_list()))
+@dataclass(frozen=True)
+class Rows:
+    """Rows of the stored table side by side: the features of one after another, and what is known of each."""
+
+    idx: np.ndarray
+    val: np.ndarray
+    ends: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+    fold: np.ndarray
+    picked: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Rows:
+        flat = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "val", "picked")}
+        about = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "weight", "fold")]
+        ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("idx"))))
+        return Rows(flat["idx"], flat["val"], ends, *about, flat["picked"].astype(bool).reshape(batch.num_rows, -1 if len(flat["picked"]) else 0))
+
+    def blocks(self, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Which rows, the features that occur in them (the constant one last), and the values of those."""
+        for at in range(0, len(self.y), BLOCK_ROWS):
+            ends = self.ends[at:at + BLOCK_ROWS + 1]
+            used, place = np.unique(self.idx[ends[0]:ends[-1]], return_inverse=True)
+            x = np.zeros((len(ends) - 1, len(used) + 1))
+            np.add.at(x, (np.repeat(np.arange(len(x)), np.diff(ends)), place), self.val[ends[0]:ends[-1]])
             x[:, -1] = 1.0
-            yield some, np.append(used, width), x
-
+            yield slice(at, at + len(x)), np.append(used, width), x
 
-def row_weights(some: pd.DataFrame, models: Boundaries) -> np.ndarray:
-    """Weight of each row in each model."""
-    picked = np.array([[True, *p] for p in some["picked"]], bool)[:, models.repeats + 1]
-    outside = some["fold"].to_numpy()[:, None] != models.folds[None, :]
-    return some["weight"].to_numpy(float)[:, None] * (picked & (outside | (models.folds < 0)))
+    def weights(self, some: slice, models: Boundaries) -> np.ndarray:
+        """Weight of each row in each model."""
+        outside = (self.fold[some, None] != models.folds) | (models.folds < 0)
+        for_all = np.ones((len(outside), 1), bool)
+        return self.weight[some, None] * (np.hstack([for_all, self.picked[some]])[:, models.repeats + 1] & outside)
 
 
 def hinge(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,26 +129,30 @@ def losses(rows: DataFrame, models: Boundaries, reg: float) -> tuple[np.ndarray,
     spark, width = rows.sparkSession, len(models.coefs) - 1
     sent = spark.sparkContext.broadcast(models)
 
+    def packed(block, values):
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([values.tobytes()], pa.binary())})
+
     def slopes(batches):
         at = sent.value
         grad, sums = np.zeros_like(at.coefs), np.zeros((2, at.n))
-        for some, used, x in blocks(batches, width):
-            sign = some["y"].to_numpy()[:, None] * 2 - 1
-            w = row_weights(some, at)
-            loss, slope = hinge(sign * (x @ at.coefs[used]))
-            sums += [(w * loss).sum(0), w.sum(0)]
-            grad[used] += x.T @ (w * slope * sign)
-        yield pd.DataFrame({"block": [-1], "sums": [sums.tobytes()]})
+        for read in map(Rows.of, batches):
+            for some, used, x in read.blocks(width):
+                sign = read.y[some, None] * 2 - 1
+                w = read.weights(some, at)
+                loss, slope = hinge(sign * (x @ at.coefs[used]))
+                sums += [(w * loss).sum(0), w.sum(0)]
+                grad[used] += x.T @ (w * slope * sign)
+        yield packed(-1, sums)
         for k in range(0, len(grad), BLOCK_FEATURES):
             part = grad[k:k + BLOCK_FEATURES]
             if part.any():
-                yield pd.DataFrame({"block": [k], "sums": [part.tobytes()]})
+                yield packed(k, part)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b) for b in sorted(pdf["sums"]))
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.tobytes()]})
 
-    parts = rows.drop("id").mapInPandas(slopes, "block int, sums binary")
+    parts = rows.drop("id").mapInArrow(slopes, "block int, sums binary")
     if rows.rdd.getNumPartitions() * models.coefs.nbytes > DIRECT_BYTES:
         parts = parts.groupBy("block").applyInPandas(add, "block int, sums binary")
     grad, sums = np.zeros_like(models.coefs), np.zeros((2, models.n))
@@ -200,13 +221,14 @@ def counts(rows: DataFrame, models: Boundaries) -> pd.DataFrame:
     def count(batches):
         at = sent.value
         total = np.zeros((6, at.n), np.int64)
-        for some, used, x in blocks(batches, len(at.coefs) - 1):
-            said, true = x @ at.coefs[used] > 0, some["y"].to_numpy()[:, None] > 0.5
-            held = (some["fold"].to_numpy()[:, None] == at.folds[None, :]) & (at.folds >= 0)
-            total += np.stack([m.sum(0) for m in (~held, ~held & (said == true), held & said & true, held & said & ~true, held & ~said & true, held & ~said & ~true)])
-        yield pd.DataFrame(total.T, columns=names).assign(model=np.arange(at.n))
-
-    sums = rows.drop("id").mapInPandas(count, ", ".join([*[f"{c} long" for c in names], "model int"])).groupBy("model").agg(*[F.sum(c).alias(c) for c in names])
+        for read in map(Rows.of, batches):
+            for some, used, x in read.blocks(len(at.coefs) - 1):
+                said, true = x @ at.coefs[used] > 0, read.y[some, None] > 0.5
+                held = (read.fold[some, None] == at.folds) & (at.folds >= 0)
+                total += np.stack([m.sum(0) for m in (~held, ~held & (said == true), held & said & true, held & said & ~true, held & ~said & true, held & ~said & ~true)])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, total), pa.array(np.arange(at.n, dtype=np.int32))], [*names, "model"])
+
+    sums = rows.drop("id").mapInArrow(count, ", ".join([*[f"{c} long" for c in names], "model int"])).groupBy("model").agg(*[F.sum(c).alias(c) for c in names])
     out = sums.toPandas().set_index("model").reindex(range(models.n), fill_value=0)
     return out.assign(fold=models.folds, repeat=models.repeats)
 
@@ -221,7 +243,10 @@ def scores(rows: DataFrame, models: Boundaries) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
-        for some, used, x in blocks(batches, len(sent.value.coefs) - 1):
-            yield some[["id", "y"]].assign(raw=list(x @ sent.value.coefs[used]))
+        at = sent.value
+        for batch in batches:
+            raw = np.vstack([np.empty((0, at.n)), *[x @ at.coefs[used] for _, used, x in Rows.of(batch).blocks(len(at.coefs) - 1)]])
+            lists = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, at.n, dtype=np.int32), raw.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), lists], ["id", "y", "raw"])
 
-    return rows.mapInPandas(score, "id string, y double, raw array<double>")
+    return rows.mapInArrow(score, "id string, y double, raw array<double>")
