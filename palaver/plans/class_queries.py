@@ -116,10 +116,11 @@ def _(t):
     """Rows trained on, rows whose score by the coefficient table differs from the model's, and whether the loss fell."""
     rows = training_rows(t)
     pipe, m = cl.feature_matrix(rows)
+    m = write_once(m.select(*rows.columns, "label", "weight", "features"))  # training, scores and loss read the vectors; counted into them once
     svc = cl.train_linear(m)
     coefs, intercept = cl.coefficient_table(t.spark, pipe, svc)
-    raw = svc.transform(m).select("name", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("raw"))
-    both = cl.linear_scores(rows, "name", coefs, intercept).select("name", "h2_score").join(raw, "name")
+    raw = F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("raw")
+    both = cl.linear_scores(svc.transform(m), "name", coefs, intercept).select("h2_score", raw)
     better = cl.hinge_loss(m, svc) < 1.0
     other = F.count_if(F.abs(F.col("raw") - F.col("h2_score")) > 1e-6)
     return both.agg(F.count("*").alias("n_rows"), other.alias("n_other_scores")).withColumn("better_than_zero", F.lit(better))
