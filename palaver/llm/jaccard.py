@@ -41,7 +41,9 @@ COMPARED_ROWS = 32_000  # group members compared by one task call, about
 SMALL = 64  # members of a group whose pairs are listed together with those of others
 BLOCK = 16_384  # members of a group compared by one task; of larger groups, any two blocks meet in some task
 STAR_ROUNDS = 3
-MOST_OF_COMPONENTS = 4  # pairs of two components that a task hands on at first; 16 times as many each time after
+MOST_OF_COMPONENTS = 4  # pairs of two components that a task with too many hands on at first; 16 times as many each time after
+HANDED_ON = 8192  # pairs that a task hands on without leaving any for later
+FINE_SEGMENTS = 256  # classes of small sets have more segments than shingles, up to so many
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
 
@@ -112,9 +114,12 @@ def band(n: int) -> int:
 
 
 def segments(c: int, percent: int = PERCENT) -> int:
-    """Number of segments of a class: above its largest allowance, so that costly ones can be left out."""
+    """Number of segments of a class: above its largest allowance, so that costly ones can be left out.
+
+    Small sets are cut finer, so that hardly any has fewer segments with shingles than it must index.
+    """
     top = (2 << c) - 1
-    return max(allowance(top, top, percent) + 2, -(-top // 2))
+    return max(allowance(top, top, percent) + 2, -(-top // 2), min(4 * top, FINE_SEGMENTS))
 
 
 def memberships(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -132,7 +137,8 @@ def allocate(stats: dict[int, tuple[int, float]], cold: float, percent: int = PE
     """Deletion segments per class, by cost.
 
     stats: class to (number of sets, mean size); cold: share of shingles that are rare. The cost of a set is its
-    index entries, plus the sets it would meet in a costly segment times the chance that it needs one.
+    index entries, plus the sets it would meet in a costly segment times the chance that it needs one, plus the sets that
+    it meets in deletion segments without having anything in common: those where both have one shingle or none.
     """
     out = {}
     for c, (n_sets, mean) in stats.items():
@@ -143,7 +149,8 @@ def allocate(stats: dict[int, tuple[int, float]], cold: float, percent: int = PE
             filled = 1 - math.exp(-mean * cold / m)
             sd = math.sqrt(max(left * filled * (1 - filled), 1e-9))
             short = 0.5 * math.erfc((left * filled - need + 0.5) / sd / math.sqrt(2)) if need else 0.0
-            costs.append((p * (1 + mean / m) + need + short * n_sets, p))
+            few = math.exp(-mean / m) * (1 + mean / m)
+            costs.append((p * (1 + mean / m) + need + short * n_sets + p * few * few * n_sets, p))
         out[c] = min(costs)[1]
     return out
 
@@ -360,8 +367,8 @@ def _split(groups: DataFrame, n_rows: int) -> DataFrame:
 def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) of nodes of one group (grp, node, comp) and different components that sizes and bitmaps do not rule out.
 
-    A task gets whole groups, and the bitmap of each of their nodes once. Of the pairs between two components it hands
-    on the `most` likeliest; more tells that there were others.
+    A task gets whole groups, and the bitmap of each of their nodes once. It hands on all its pairs, or if they are more than
+    HANDED_ON, the `most` likeliest between two components; more tells that there were others.
     """
     groups = stored(groups)
     apart = stored(groups.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp"))
@@ -431,8 +438,8 @@ def _compared(groups: DataFrame, light: DataFrame, percent: int, most: int) -> D
         new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.empty(0, bool)
         start = np.flatnonzero(new)
         nth = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one))))
-        kept = order[nth < most]
-        return pd.DataFrame({"a": nodes[x[kept]], "b": nodes[y[kept]], "more": np.full(len(kept), bool((nth >= most).any()))})
+        kept = order if len(order) <= HANDED_ON else order[nth < most]
+        return pd.DataFrame({"a": nodes[x[kept]], "b": nodes[y[kept]], "more": np.full(len(kept), len(kept) < len(order))})
 
     # partitions of a fixed number: small tables of costly rows are not put together again
     rows, needed = rows.repartition(n_buckets, "bucket"), needed.repartition(n_buckets, "task")
