@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, stored
+from .common import components, small_batches, stored
 
 SIMILARITY = 0.9
 SHARD_NODES = 8192
@@ -249,6 +249,19 @@ def audit(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, g: Graph, exact: np
     return out
 
 
+def cells(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the bits that are set in a matrix of packed bits."""
+    r, c = np.nonzero(packed)
+    at, bit = np.nonzero(np.unpackbits(packed[r, c][:, None], axis=1))
+    return r[at], c[at] * 8 + bit
+
+
+def meeting(queries: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Each block of queries with each graph. Both are read from the shared folder by the tasks that need them, none is shuffled:
+    bytes of queries and graphs times the number of their partners would be the largest thing on disk."""
+    return graphs.hint("shuffle_replicate_nl").crossJoin(queries)
+
+
 def both_ends(rows: list[tuple[int, int, np.ndarray, np.ndarray, bytes]]) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Weighted links by key, and forest edges, of what two shards found in each other or one in itself.
 
@@ -260,17 +273,21 @@ def both_ends(rows: list[tuple[int, int, np.ndarray, np.ndarray, bytes]]) -> tup
         sides.append((np.concatenate([r[2] for r in blocks]), np.concatenate([r[3] for r in blocks]), [r[4] for r in blocks], [len(r[2]) for r in blocks]))
     (keys, weights, *_), (keys2, weights2, *_) = sides[0], sides[-1]
 
-    def matrix(side: int, width: int) -> np.ndarray:
+    def matrix(side: int) -> np.ndarray:
         _, _, bits, sizes = sides[side]
-        packed = [np.frombuffer(zlib.decompress(b), np.uint8).reshape(n, -1) for b, n in zip(bits, sizes)]
-        return np.concatenate([np.unpackbits(x, axis=1, count=width) for x in packed])
+        return np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8).reshape(n, -1) for b, n in zip(bits, sizes)])
 
-    links = matrix(0, len(keys2))
-    links |= (links.T.copy() if len(sides) == 1 else matrix(1, len(keys)).T)
+    mine, theirs = matrix(0), matrix(-1)
     count, count2, pairs = np.zeros(len(keys)), np.zeros(len(keys2)), []
-    for start in range(0, len(keys), 256):
-        r, c = np.nonzero(links[start:start + 256])
-        count[start:start + 256] = np.bincount(r, weights2[c], min(256, len(keys) - start))
+    for start in range(0, len(keys), 256):  # of the links found from the other end, the columns of these rows
+        links = np.zeros((min(256, len(keys) - start), len(keys2)), bool)
+        links[cells(mine[start:start + 256])] = True
+        c, r = cells(theirs[:, start // 8:start // 8 + 32])
+        links[r, c] = True
+        r, c = np.nonzero(links)
+        if not len(r):
+            continue
+        count[start:start + 256] = np.bincount(r, weights2[c], len(links))
         count2 += np.bincount(c, weights[start + r], len(keys2))
         if len(sides) == 1:  # either end of a link has it
             r, c = r[c > start + r], c[c > start + r]
@@ -302,6 +319,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     included, kept tells whether it is its own. Null ids never name a component unless nothing else is in it. Other
     columns are not read; no rows give no rows.
     """
+    small_batches(rows.sparkSession)
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     base = base.select("id", F.when(usable(F.col("vector")), F.col("vector")).alias("vector"))
     # equal up to the sign of zero
@@ -383,9 +401,8 @@ def _links(nodes: DataFrame, dim: int, n: int, similarity: float, shard_nodes: i
         end = min(1 << 30, math.ceil((1 << 30) * size / n))
         parts = math.ceil(n * (end - done) / (1 << 30) / block_nodes)
         sample = nodes.filter((place >= done) & (place < end)).select(F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).alias("block"), "key", "vector")
-        sample = sample.groupBy("block").applyInPandas(pack, "block long, q_keys binary, queries binary")
-        asked = sample.withColumn("shard", F.explode(F.array(*[F.lit(x).cast("long") for x in sorted(left)])))
-        asked = asked.join(graphs, "shard").repartition(F.col("shard"), F.col("block"))
+        sample = stored(sample.groupBy("block").applyInPandas(pack, "block long, q_keys binary, queries binary"))
+        asked = meeting(sample, graphs.drop("weights").filter(F.col("shard").isin(sorted(left))))
         rows = asked.mapInPandas(audited, "beam long, found long, total long, shard long").groupBy("shard", "beam").agg(F.sum("found").alias("found"), F.sum("total").alias("total"))
         for r in rows.collect():  # a few rows a shard
             old = seen.setdefault(r["shard"], {}).get(r["beam"], (0, 0))
@@ -395,9 +412,8 @@ def _links(nodes: DataFrame, dim: int, n: int, similarity: float, shard_nodes: i
     fit = {x: min((b for b, (found, total) in at.items() if found >= recall * total), default=EXACT) for x, at in seen.items()}
     widths = nodes.sparkSession.createDataFrame([(x, fit.get(x, EXACT)) for x in range(shards)], "shard long, beam long")
 
-    # each block of queries is sent to each shard
-    sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    tasks = sent.join(graphs.join(F.broadcast(widths), "shard"), "shard").repartition(F.col("shard"), F.col("own"), F.col("block"))
+    # each block of queries meets each shard
+    tasks = meeting(queries, graphs.drop("weights").join(F.broadcast(widths), "shard"))
 
     def run(batches):
         for pdf in batches:
